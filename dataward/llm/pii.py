@@ -220,8 +220,8 @@ def found(docs: DataFrame, text: str = "text", spans_as: str = "spans") -> DataF
                 got = pa.array([spans(x) for x in some.column(at).to_pylist()], kind)
                 yield pa.RecordBatch.from_arrays([*some.columns, got], names=[*names, spans_as])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(spans_as, SPANS_TYPE)
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(find, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(find, T.StructType([*rows.schema.fields, T.StructField(spans_as, SPANS_TYPE)]))
 
 
 def joined(spans_: Column) -> Column:
