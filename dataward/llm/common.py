@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,16 @@ def ascii_lower(c: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of whole texts, A-Z lower-cased: (distinct words, all words as indices into them, words in each text); null is empty."""
+    # Arrow's lower-casing misreads large strings that begin inside a batch, so they are copied first.
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lengths = np.asarray(split.value_lengths(), np.int64)
+    flat = split.flatten()
+    filled = np.asarray(pc.binary_length(flat), np.int64) > 0
+    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[filled], minlength=len(lengths))
+    coded = flat.filter(pa.array(filled)).dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices, np.int64), lengths

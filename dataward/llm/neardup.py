@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_words, written
 
 WORDS, SIMILARITY = 3, 85
 BANDS, ROWS, BITS = 32, 6, 512
@@ -52,15 +51,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    lengths = np.asarray(split.value_lengths(), np.int64)
-    flat = split.flatten()
-    filled = np.asarray(pc.binary_length(flat), np.int64) > 0
-    doc = np.repeat(np.arange(len(lengths)), lengths)[filled]
-    lengths = np.bincount(doc, minlength=len(lengths))
-    coded = flat.filter(pa.array(filled)).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
-    h = mixed(hashes)[np.asarray(coded.indices)] if len(hashes) else np.zeros(0, np.uint64)
+    distinct, at, lengths = arrow_words(texts)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in distinct), np.uint64, len(distinct))
+    h = mixed(hashes)[at] if len(hashes) else np.zeros(0, np.uint64)
     n = max(0, len(h) - words + 1)
     rolled = np.zeros(n, np.uint64)
     for i in range(words):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, merkle, mixing, neardup, packing, pii, quality, urls, wordpiece
+from . import lm, maxscore, merkle, mixing, neardup, packing, pii, quality, urls, wordpiece
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_source_mix, op3_merkle_fingerprints, op5_token_counts, op6_maxscore, op7_near_duplicates, op8_pii, op9_quality, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_source_mix, op3_merkle_fingerprints, op4_lm_scores, op5_token_counts, op6_maxscore, op7_near_duplicates, op8_pii, op9_quality, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_maxscore": """
