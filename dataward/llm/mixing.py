@@ -121,3 +121,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     n_copies = F.col("base") + F.when(F.col("nth") + F.col("before") < F.col("extra"), 1).otherwise(0)
     out = joined.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", n_copies.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs with each row as many times as the mix takes it, with all its columns; rows that repeat a doc_id share their most copies."""
+    copies = mixed(docs, weights, most).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id").where("_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).drop("_copy", "_copies", "_mixed_id")

@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import arrow_words, written
 
 WORDS, SIMILARITY = 3, 85
-BANDS, ROWS, BITS = 32, 6, 512
-SAMPLES = BANDS * ROWS
+SAMPLES, BITS = 192, 512
+#: Most chance that bands miss a pair of just the similarity asked for.
+MISS = 3e-7
 #: Classes, and their shingles, that a task holds of one block.
 BLOCK_SETS, BLOCK_SHINGLES = 384, 400_000
 
@@ -77,9 +78,18 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    return mixed((rows * MIX[8 : 8 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * MIX[15]).view(np.int64)
+def band_rows(similarity: int) -> int:
+    """The most samples to a band with which SAMPLES samples miss few enough pairs."""
+    for rows in range(8, 0, -1):
+        if (1 - (similarity / 100) ** rows) ** (SAMPLES // rows) <= MISS:
+            return rows
+    raise ValueError(f"{SAMPLES} samples are too few for a similarity of {similarity} %")
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    bands = SAMPLES // rows
+    samples_ = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    return mixed((samples_ * MIX[2 : 2 + rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * MIX[15]).view(np.int64)
 
 
 def odd_sketch(least: np.ndarray) -> bytes:
@@ -95,8 +105,9 @@ def most_bits(similarity: int) -> float:
     return mean + 2.2 * (BITS / 4 * (1 - (1 - 4 / BITS) ** (2 * unequal))) ** 0.5 + 2
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, digest, bands, sketch."""
+    rows_of = band_rows(similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +119,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     if len(shingles):
                         least = samples(shingles)
                         digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(least))
+                        bands.append(band_keys(least, rows_of))
                         sketches.append(odd_sketch(least))
                     else:
                         digests.append(None)
@@ -201,7 +212,7 @@ def blocks(members: DataFrame, order: str) -> DataFrame:
 
 def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (whether the document is the smallest of its component)."""
-    signed = written(signatures(docs, words), "signatures")
+    signed = written(signatures(docs, words, similarity), "signatures")
     once = signed.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest")).alias("_best")).select("doc_id", "_best.*")
     members = written(once.withColumn("digest", F.coalesce("digest", F.encode(F.concat(F.lit("empty"), F.col("doc_id")), "utf-8"))), "members")
     classes = written(members.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
@@ -253,6 +264,12 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
 
 
 def one_of_each(docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The rows of docs that are the kept ones of their components, with all their columns."""
+    """The rows of docs that are the kept ones of their components, with all their columns.
+
+    Rows without a doc_id stay; of rows that repeat one, the longest text does (then the greatest).
+    """
     keep = grouped(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    own = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
+    own = own.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return own.unionByName(docs.where(F.col("doc_id").isNull()))

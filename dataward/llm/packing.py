@@ -183,3 +183,8 @@ def packed_digests(docs: DataFrame) -> DataFrame:
     """The packing of docs with a checksum in place of each piece's ids."""
     digests = pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(written(digests, "pieces"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, start, length, ids, doc_tokens, sequence_id, offset: the packed sequences' pieces with their token ids."""
+    return pack(written(pieces(docs), "pieces"))
