@@ -202,7 +202,7 @@ def spans(text: str | None) -> list[dict]:
     if not text:
         return []
     base = plain(text)
-    added = [x for x in disguised(text) if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in base)]
+    added = [x for x in disguised(text) if not any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)]
     every = [(a, KINDS.index(k), b, True) for k, a, b in base] + [(a, KINDS.index(k), b, False) for k, a, b in dict.fromkeys(added)]
     return [{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in sorted(every)]
 
