@@ -232,7 +232,8 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
                 some = batch.slice(part, 500)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.tobytes() for x in shingle_sets(some.column(1), words)], pa.binary()), some.column(2)], names=["node", "shingles", "_n"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(near.select("node", F.col("n_shingles").alias("_n")), "node")
+    # Clustered classes grow with the documents, so the texts are always shuffled to meet them.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(near.select("node", F.col("n_shingles").alias("_n")).hint("merge"), "node")
     sets = texts.mapInArrow(full, "node long, shingles binary, _n long").where(F.octet_length("shingles") == F.col("_n") * 8).select("node", "shingles").dropDuplicates(["node"])
     sets = written(sets, "shingle-sets")
 
