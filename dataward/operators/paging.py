@@ -68,7 +68,10 @@ def paginate(df: DataFrame, page: int | None = 1, limit: int | None = DEFAULT_LI
         raise BadRequestError("the page lies beyond the largest offset")
     rows = (total if total is not None else df).count()
     pages = -(-rows // limit) if limit else 0
-    return Page(ordered(df, order, tie_break).offset(skip).limit(limit), page, limit, rows, pages, page < pages, page > 1)
+    data = ordered(df, order, tie_break)
+    while skip:  # Spark's offsets are 32-bit
+        data, skip = data.offset(min(skip, 2**31 - 1)), skip - min(skip, 2**31 - 1)
+    return Page(data.limit(limit), page, limit, rows, pages, page < pages, page > 1)
 
 
 def _plain(x: Any) -> Any:
