@@ -47,6 +47,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, the first by a hash of keys, so the same on each run.
+
+    A cut-off on the hash, from the number of rows, leaves little more than n rows to put in order.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(2**32))
+    share = (1.2 * n + 1000) / max(df.count(), 1)
+    df = df.where(place < int(share * 2**32)) if share < 1 else df
+    return df.orderBy(place, *keys).limit(n)
+
+
 def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words of whole texts, A-Z lower-cased: (distinct words, all words as indices into them, words in each text); null is empty."""
     # Arrow's lower-casing misreads large strings that begin inside a batch, so they are copied first.
