@@ -47,6 +47,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most rows of whole texts that pass between Spark and Python at once.
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, once its session hands texts to Python in batches of BATCH_ROWS at most: texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most n rows, the first by a hash of keys, so the same on each run.
 

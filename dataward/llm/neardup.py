@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_words, written
+from .common import arrow_words, text_batches, written
 
 WORDS, SIMILARITY = 3, 85
 SAMPLES, BITS = 192, 512
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
                         sketches.append(None)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 
 SEQUENCE, END_ID, SALTS = 2048, 1, 64
 SPECIAL = "<|endoftext|>"
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQU
                         totals.append(len(whole) // 4)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def patterns(histogram: dict[int, int], length: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 
@@ -220,7 +222,7 @@ def found(docs: DataFrame, text: str = "text", spans_as: str = "spans") -> DataF
                 got = pa.array([spans(x) for x in some.column(at).to_pylist()], kind)
                 yield pa.RecordBatch.from_arrays([*some.columns, got], names=[*names, spans_as])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    rows = text_batches(docs).select(*[F.col(f"`{c}`") for c in names])
     return rows.mapInArrow(find, T.StructType([*rows.schema.fields, T.StructField(spans_as, SPANS_TYPE)]))
 
 

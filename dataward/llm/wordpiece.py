@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, text_batches
 
 #: Cached words in each Python worker; the cache is emptied when full.
 CACHE = 400_000
@@ -110,4 +110,4 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame
                 n_tokens.append(pieces.words(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_words long, n_tokens long")
