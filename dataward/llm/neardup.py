@@ -201,13 +201,14 @@ def linked(table: pa.Table, similarity: int) -> pa.Table:
     return pa.table({"a": pa.array(nodes[before][changed], pa.int64()), "b": pa.array(nodes[roots][changed], pa.int64())})
 
 
-def blocks(members: DataFrame, order: str) -> DataFrame:
-    """members (cluster, node, n_shingles) with their block: so many classes and shingles each, of one cluster.
+def blocks(members: DataFrame, part: str) -> DataFrame:
+    """members (cluster, node, n_shingles, part) with their block of a cluster's part, by hash.
 
-    The running sums are over narrow rows, so that a large cluster may spill, and not fail.
+    Parts are counted before shuffling, and a hash deals their classes out, so no task sees a whole
+    cluster; blocks are about as large as BLOCK_SETS and BLOCK_SHINGLES say.
     """
-    running = Window.partitionBy("cluster").orderBy(order, "node").rowsBetween(Window.unboundedPreceding, -1)
-    return members.withColumn("block", F.greatest(F.floor(F.coalesce(F.sum("n_shingles").over(running), F.lit(0)) / BLOCK_SHINGLES), F.floor(F.count(F.lit(1)).over(running) / BLOCK_SETS)))
+    shape = members.groupBy("cluster", part).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("_blocks"))
+    return members.join(shape, ["cluster", part]).withColumn("block", F.xxhash64(part, F.pmod(F.xxhash64("node"), F.col("_blocks")))).drop("_blocks")
 
 
 def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -240,15 +241,18 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     pairs_schema = "a long, b long"
     link = lambda table: linked(table, similarity)
     columns = ["node", "component", "side", "sketch", "shingles"]
-    first = blocks(near.select("cluster", "node", "n_shingles"), "n_shingles").select("cluster", "block", "node")
+    first = written(blocks(near.select("cluster", "node", "n_shingles", F.lit(0).alias("part")), "part").select("cluster", "block", "node"), "blocks")
     inner = first.join(near.select("node", "sketch"), "node").join(sets, "node").withColumn("component", F.col("node")).withColumn("side", F.lit(0))
     ties = written(inner.groupBy("cluster", "block").applyInArrow(lambda table: link(table.select(columns)), pairs_schema), "links")
 
-    several = first.where("block > 0").select("cluster").distinct()
+    several = first.groupBy("cluster").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("cluster")
     if several.limit(1).count():
         found = components(ties)
         wide = near.select("cluster", "node", "n_shingles").join(several, "cluster", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        wide = written(blocks(wide, "component"), "wide-blocks")
+        # A component that fills blocks of its own gets them; pairs of these are then left out.
+        large = wide.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK_SETS // 2).select("cluster", "component", F.lit(True).alias("large"))
+        wide = wide.join(large, ["cluster", "component"], "left").withColumn("part", F.when(F.col("large"), F.col("component")).otherwise(-1)).drop("large")
+        wide = written(blocks(wide, "part"), "wide-blocks")
         shape = wide.groupBy("cluster", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         left, right = shape.toDF("cluster", "i", "low_i", "high_i"), shape.toDF("cluster", "j", "low_j", "high_j")
         # Pairs of blocks, not of documents; those within one component are left out.
