@@ -13,7 +13,8 @@ best k are merged by query.
 Defined results: vectors that are null or hold null or non-finite components take no part; a vec_id
 that repeats counts once, with its smallest vector; vectors of unlike lengths are compared as if the
 shorter ended in zeros; with fewer than k other vectors, all are returned; ties go to the smaller
-vec_id; rows with a null vec_id take no part; an empty table gives an empty result; other columns are
+vec_id; rows with a null vec_id take no part; components are cut to, and scores wrap around in, 64 bits;
+an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -28,7 +29,7 @@ from .common import written
 
 K, EVERY = 20, 20
 SHARD, BLOCK, CHUNK, PROBE = 16384, 4096, 2048, 8
-#: Below this, products and sums are exact in double precision.
+#: Below this, products and sums are exact in double precision; beyond it, integers are used.
 EXACT = 2**53
 
 
@@ -41,7 +42,7 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def matrix(table: pa.Table, width: int) -> np.ndarray:
-    """Rows of x, filled up with zeros; doubles where these are exact, else Python's integers."""
+    """Rows of x, filled up with zeros."""
     x = table.column("x").combine_chunks()
     flat, ends = x.flatten().to_numpy(zero_copy_only=False), np.asarray(x.value_lengths(), dtype=np.int64)
     out = np.zeros((len(ends), width), dtype=np.int64)
@@ -59,9 +60,9 @@ def maxscore(ids: np.ndarray, shard: np.ndarray, query_id: int, query: np.ndarra
     a, b = query * low, query * high
     base, bound = np.minimum(a, b), np.abs(b - a)
     order = np.argsort(-bound, kind="stable")
-    after = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # bound of the terms from each place on
+    after = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, query.dtype)])  # bound of the terms from each place on
     floor = base.sum()
-    top_ids, top = ids[:0], np.zeros(0)
+    top_ids, top = ids[:0], np.zeros(0, query.dtype)
     for at in range(0, len(ids), CHUNK):
         rows, own = shard[at : at + CHUNK], ids[at : at + CHUNK]
         least = top[-1] - floor if len(top) == k else -1  # counted from the lower bounds
@@ -88,7 +89,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = 64) -
     shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max(F.size("x")).alias("width"), F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))).alias("top")).first()
     width, largest = shape["width"] or 0, int(shape["top"] or 0)
     shards, blocks = max(1, -(-shape["n"] // SHARD)), max(1, -(-shape["q"] // BLOCK))
-    kind = np.float64 if largest * largest * max(width, 1) * 4 < EXACT else object
+    kind = np.float64 if largest * largest * max(width, 1) * 4 < EXACT else np.int64
 
     def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = []

@@ -212,13 +212,13 @@ def test_small_automaton():
 # 6
 
 
-@pytest.mark.parametrize("shard,chunk", [(16384, 2048), (37, 8)])
-def test_top_k(spark, monkeypatch, shard, chunk):
+@pytest.mark.parametrize("shard,chunk,scale", [(16384, 2048, 0.2), (37, 8, 0.2), (37, 8, 1e6)])
+def test_top_k(spark, monkeypatch, shard, chunk, scale):
     monkeypatch.setattr(maxscore, "SHARD", shard)
     monkeypatch.setattr(maxscore, "CHUNK", chunk)
     monkeypatch.setattr(maxscore, "BLOCK", 4)
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.2, 12))], 0) for i in range(150)]
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, scale, 12))], 0) for i in range(150)]
     rows += [(200, rows[0][1], 0), (220, rows[0][1], 1), (240, None, 0), (241, [None] * 12, 0), (242, [float("nan")] * 12, 0), (243, [float("inf")] + [0.0] * 11, 0), (260, [1.0], 0), (261, [], 0), (3, rows[3][1], 0), (None, rows[4][1], 0)]
     got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     vectors = {i: [int(np.floor(64 * np.float64(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
