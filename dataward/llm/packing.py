@@ -26,7 +26,7 @@ from .common import text_batches, written
 SEQUENCE, END_ID, SALTS = 2048, 1, 64
 SPECIAL = "<|endoftext|>"
 #: Cached chunks of text in each Python worker; the cache is emptied when full.
-CACHE = 400_000
+CACHE = 100_000
 
 _encoders: dict[str, ChunkEncoder] = {}
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, text_batches
 
 #: Cached words in each Python worker; the cache is emptied when full.
-CACHE = 400_000
+CACHE = 100_000
 _automata: dict[str, Automaton] = {}
 
 
