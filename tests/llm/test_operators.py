@@ -349,9 +349,9 @@ def test_quality_model_is_a_distribution(spark):
     texts = some_texts(60, 3)
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de", None, 0) for i, t in enumerate(texts)], DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
-    key, table, model = quality.fitted(docs, labels).value
+    table, model = quality.fitted(docs, labels).value
     for lang in ("en", "de"):
-        p = np.exp2(-quality.dense(model, lang, key).astype(np.float64)).reshape(quality.ALPHABET, quality.ALPHABET, quality.ALPHABET)
+        p = np.exp2(-quality.dense(model, lang).astype(np.float64)).reshape(quality.ALPHABET, quality.ALPHABET, quality.ALPHABET)
         assert np.allclose(p.sum(axis=2), 1, atol=1e-3)
     # Brute force for one language: modified Kneser-Ney from its definition.
     from collections import Counter
@@ -381,7 +381,7 @@ def test_quality_model_is_a_distribution(spark):
         n = c.get(gram, 0)
         return (max(0, n - cut(n)) if n else 0) / sum(context) + sum(map(cut, context)) / sum(context) * low
 
-    dense = quality.dense(model, "en", key)
+    dense = quality.dense(model, "en")
     rng = random.Random(0)
     grams = rng.sample(sorted(c3), 20) + [tuple(rng.randrange(40) for _ in range(3)) for _ in range(20)]
     for u, v, w in grams:
