@@ -5,6 +5,7 @@ disguises - homoglyphs, wide and foreign digits, invisible characters, spelled d
 in brackets or words - into plain characters, each of which remembers the source characters it came
 from. The detectors run again on the plain text; what they find there and holds a disguise is mapped
 back and added, unless it overlaps a span of its kind. Offsets count code points, ends are exclusive.
+Every transducer sees every text, so what is found in one place doesn't hang on the rest of the text.
 
 Each detector takes leftmost matches that don't overlap; a match that fails its check is dropped and
 not tried again in part. All of them are linear in the length of the text.
@@ -16,6 +17,7 @@ repeat; an empty table gives an empty result; other columns are ignored (redacte
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -73,10 +75,21 @@ SPELLED_UNIT = re.compile(rf"(?<!\w)(?P<plus>{_any(PLUS_WORDS)})\s{{1,3}}|(?<!\w
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OolI]*[0-9])[0-9OolI]+(?![A-Za-z0-9])")
 MIXED_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 
-#: Cheap signs, in a lower-cased text, that a disguise may be there.
-_hint_words = re.compile(rf"(?<!\w)(?:{NUM})[\s,.()-]{{1,3}}(?:[0-9]+[\s,.()-]{{1,3}})?(?:{NUM})[\s,.()-]{{1,3}}(?:[0-9]+[\s,.()-]{{1,3}})?(?:{NUM})(?!\w)")
-_hint_signs = re.compile(rf"{OPEN}\s{{0,3}}(?:{AT}|{DOT}|@|\.)\s{{0,3}}{CLOSE}|\s(?:{DOT})\s|\s@|@\s|[0-9][oil]|[oil][0-9]")
-_odd = re.compile("[" + "".join(map(re.escape, sorted({*LOOKALIKES, *SIGNS, *INVISIBLE}))) + "٠-٩۰-۹०-९⁰-₉①-⑳０-～\U0001d400-\U0001d7ff]")
+#: Letters that match i or s when case is ignored, though their lower case is another.
+_CASES = {"İ": "i", "ı": "i", "ſ": "s"}
+#: What every run with three digit words holds, in a text that has passed lowered(): far faster than SPELLED.
+_three_words = re.compile(rf"(?<!\w)(?:{NUM})(?:[\s,.()-]{{1,3}}(?:[0-9]+[\s,.()-]{{1,3}})*(?:{NUM})){{2}}(?!\w)")
+_bracketed = re.compile(rf"{OPEN}\s{{0,3}}(?:{AT}|{DOT}|@|\.)\s{{0,3}}{CLOSE}", re.I)
+#: Decimal digits of all scripts, which stand in tens from 0 to 9.
+_decimals = "".join(f"{c}-{chr(ord(c) + 9)}" for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) == 0)
+_odd = re.compile("[" + "".join(map(re.escape, sorted({*LOOKALIKES, *SIGNS, *INVISIBLE}))) + _decimals + "⁰-₉①-⑳０-～\U0001d400-\U0001d7ff]")
+
+
+def lowered(text: str) -> str:
+    if not text.isascii():
+        for c, x in _CASES.items():
+            text = text.replace(c, x)
+    return text.lower()
 
 
 def luhn(digits: str) -> bool:
@@ -150,7 +163,7 @@ def folded(c: str) -> str:
 
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for run in SPELLED.finditer(text):
+    for run in SPELLED.finditer(text) if _three_words.search(lowered(text)) else ():
         units = list(SPELLED_UNIT.finditer(text, *run.span()))
         if sum(u.lastgroup == "word" for u in units) < 3:
             continue
@@ -158,7 +171,7 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
             if u.lastgroup == "plus":
                 edits.append((*u.span(), "+"))
             elif u.lastgroup == "word":
-                edits.append((*u.span(), DIGIT_WORDS[u[0].lower()]))
+                edits.append((*u.span(), DIGIT_WORDS[lowered(u[0])]))
             elif len(u[0]) > 1 or u[0] not in " -":
                 edits.append((*u.span(), " "))
     return edits
@@ -177,13 +190,11 @@ def worded_edits(text: str) -> list[tuple[int, int, str]]:
 
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of identifiers that hold a disguise."""
-    low = text.lower()
-    if not (_odd.search(text) or _hint_signs.search(low) or _hint_words.search(low)):
-        return []
     way = Plain(text)
     way.rewrite([(m.start(), m.end(), x) for m in _odd.finditer(way.text) if (x := folded(m[0])) != m[0]])
-    way.rewrite([(*m.span(), "@") for m in BRACKET_AT.finditer(way.text)])
-    way.rewrite([(*m.span(), ".") for m in BRACKET_DOT.finditer(way.text)])
+    if _bracketed.search(way.text):
+        way.rewrite([(*m.span(), "@") for m in BRACKET_AT.finditer(way.text)])
+        way.rewrite([(*m.span(), ".") for m in BRACKET_DOT.finditer(way.text)])
     way.rewrite(worded_edits(way.text))
     way.rewrite([(*m.span(), ".") for m in NUMBER_DOT.finditer(way.text)])
     way.rewrite(spelled_edits(way.text))

@@ -313,6 +313,32 @@ def test_disguises(kind, hidden):
     assert (kind, hidden, False) in got
 
 
+@pytest.mark.parametrize(
+    "kind,hidden",
+    [
+        ("email", "john@example . com"),
+        ("email", "john@example .com"),
+        ("email", "john at example . com"),
+        ("phone", "+1 nine 0 8 five 5 5 two 1 8 5"),
+        ("phone", "+\u0a67 \u0a68\u0a69\u0a6a\u0a6b\u0a6c\u0a6d\u0a6e\u0a6f\u0a66"),
+        ("phone", "+1 n\u0131ne 0 8 \u017f\u0130x 5 5 two 1 8 5"),
+    ],
+)
+def test_disguises_do_not_need_another_sign(kind, hidden):
+    for more in ("", " and \u2013 this", " or \xa0", " or [at]", " or 3o"):
+        text = f"Write {hidden}{more}"
+        assert (kind, hidden, False) in [(x["kind"], text[x["start"] : x["end"]], x["base"]) for x in pii.spans(text)]
+
+
+def test_spans_do_not_hang_on_the_rest_of_the_text():
+    rng = random.Random(2)
+    units = ["john", "example", "com", " ", " ", " ", ".", "@", " at ", " dot ", " [at] ", " (.) ", "+1", "9", "08", "one", "zwei", "s\u0131x", "f\u0130ve", "\u017fix", "O", "l", "-", "\xa0", "\u0663", "\u09e7"]
+    for _ in range(4000):
+        text = "".join(rng.choice(units) for _ in range(rng.randint(1, 24)))
+        for more in ("\n\n\n\n|\n\n\n\n[at]", "\n\n\n\n|\n\n\n\none two three|\u2013|\xa0|3o"):
+            assert [x for x in pii.spans(text + more) if x["start"] < len(text)] == pii.spans(text)
+
+
 @pytest.mark.parametrize("text", ["look at example.com. The dot at.", "one two three four five", "un de un deux trois", "version 1.2.3 at 10:30", "O1 l0 I", "le point (at) sea"])
 def test_clean_text(text):
     assert pii.spans(text) == []
