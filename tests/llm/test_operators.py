@@ -428,6 +428,15 @@ def test_quality_rejects_junk(spark, odd_docs, no_docs):
     assert quality.judged(docs, labels.limit(0)).where("kept").count() == len(rows)
 
 
+def test_quality_samples_each_language(spark):
+    texts = some_texts(240, 9)
+    langs = ["en"] * 200 + [f"x{i // 4}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, lang, None, 0) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    assert dict(quality.trusted_sample(docs, labels, 3).groupBy("lang").count().collect()) == dict.fromkeys(langs, 3)
+    assert quality.judged(docs, labels, sample=5).where("perplexity IS NULL").count() == 0
+
+
 # 10
 
 
