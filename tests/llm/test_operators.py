@@ -437,6 +437,33 @@ def test_quality_samples_each_language(spark):
     assert quality.judged(docs, labels, sample=5).where("perplexity IS NULL").count() == 0
 
 
+def test_quality_tells_scripts_apart_beside_a_latin_majority(spark):
+    rng = random.Random(10)
+    scripts = {"latin": [chr(c) for c in range(0x100, 0x17D)], "ru": [chr(c) for c in range(0x430, 0x450)], "zh": [chr(c) for c in range(0x4E00, 0x4E00 + 900)]}
+    rows, made = [], {}
+    for lang, letters in scripts.items():
+        words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(40 if lang == "ru" else 400)]
+        for i in range(600 if lang == "latin" else 60):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(120)), lang, None, 0))
+        foreign = [chr(c) for c in range(0x9000, 0x9400)] if lang == "zh" else letters
+        made[lang] = len(rows)
+        rows.append((len(rows), " ".join("".join(rng.choice(foreign) for _ in range(3)) for _ in range(120)), lang, None, 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] not in made.values()], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judged(docs, labels).collect()}
+    for lang in ("ru", "zh"):
+        assert got[made[lang]]["perplexity"] > 1.3 * got[made[lang]]["threshold"] and not got[made[lang]]["kept"]
+
+
+def test_quality_shares_of_rare_characters_add_up():
+    letters = [("zh", 1000 + i, 300 - i) for i in range(200)] + [("en", 97, 5)]
+    _, own = quality.alphabets(letters)
+    chars, codes, rest, bits = own["zh"]
+    assert len(chars) == 125 and len(set(codes.tolist())) == 125 and codes.min() == 2 and len(rest) == 75
+    share = np.exp2(-bits.astype(np.float64))
+    assert share[:-1].sum() + share[-1] * (quality.UNICODE - len(rest)) == pytest.approx(1, rel=1e-4)
+
+
 # 10
 
 
