@@ -464,6 +464,18 @@ def test_quality_shares_of_rare_characters_add_up():
     assert share[:-1].sum() + share[-1] * (quality.UNICODE - len(rest)) == pytest.approx(1, rel=1e-4)
 
 
+def test_quality_rejects_repeated_words(spark):
+    words = [t.split() for t in some_texts(200, 11)]
+    texts = [" ".join(b for a, b in zip(["", *w], w, strict=False) if a.lower() != b.lower()) for w in words]
+    common = [x for x in ("the", "of", "mañana") for _ in range(4)]
+    rows = [(i, t, "en", None, 0) for i, t in enumerate(texts)] + [(1000 + i, " ".join([w] * (20 + 40 * i)), "en", None, 0) for i, w in enumerate(common)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(docs, labels).collect()}
+    assert not any(got[1000 + i] for i in range(len(common))) and sum(got[i] for i in range(200)) >= 198
+    assert quality.repeats("A a\nb  b b") == (3, 4) and quality.repeats(None) == (0, 0)
+
+
 # 10
 
 
