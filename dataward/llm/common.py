@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables that this process has written to cut lineage.
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only a local session without one gets its own."""
+    """The folder named in spark.checkpoint.dir; only a session of one process and without one gets its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -35,7 +40,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and lost executors take nothing along."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.written_to = path
+    return table_
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table_: DataFrame) -> None:
+    """Removes a table as written() returned it, once nothing reads it any more."""
+    _remove(table_.sparkSession, table_.written_to)
+    _tables.remove(table_.written_to)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that operators have written so far, once their results are saved; how many there were."""
+    n = len(_tables)
+    while _tables:
+        _remove(spark, _tables.pop())
+    return n
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or if df has such a column, name after underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def ascii_lower(c: Column) -> Column:

@@ -4,7 +4,8 @@
    sample toggles one bit, so the bits in which two sketches differ count their unequal samples.
    Documents with equal digests form a class; one of them stands for it from there on.
 2. Bands of samples put classes into buckets. Classes connected by buckets form a cluster. Bucket
-   members are only tied to the bucket's smallest one; no pairs are made of a bucket.
+   members are only tied to the bucket's smallest one; no pairs are made of a bucket. Of its ties a
+   class keeps one, since the smallest ones it is tied to are tied with each other.
 3. A cluster's classes are dealt out in blocks of bounded size. In a task, sketches rule out pairs
    that can't be similar enough, and the rest are checked on their full sets, unless links found
    before already connect them. A second round compares blocks with each other, where a cluster has
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_words, text_batches, written
+from .common import arrow_words, discard, text_batches, unused, written
 
 WORDS, SIMILARITY = 3, 85
 SAMPLES, BITS = 192, 512
@@ -131,39 +132,51 @@ def signatures(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def components(ties: DataFrame, rounds: int = 40) -> DataFrame:
+def forest(edges: DataFrame) -> DataFrame:
+    """edges (a, b) as each task's own union-find leaves them: every node tied to the smallest it knows, a > b."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, at = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
+            a, b = at[: batch.num_rows], at[batch.num_rows :]
+            low = np.arange(len(nodes))
+            while True:
+                least = low.copy()
+                np.minimum.at(least, a, low[b])
+                np.minimum.at(least, b, low[a])
+                np.minimum.at(least, low, least.copy())
+                least = least[least]
+                if (least == low).all():
+                    break
+                low = least
+            tied = low < np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[low[tied]])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(join, "a long, b long")
+
+
+def components(ties: DataFrame) -> DataFrame:
     """node, component: the smallest node that ties (a, b) connect it with, for all nodes with a tie.
 
-    Each round takes the smallest label among a node's neighbours and then that label's own label.
+    Ties shrink to a forest inside each task. Then two steps take turns until every tree is a star: each
+    node's larger neighbours move to its smallest one, and so do its smaller ones and itself. Both keep
+    the components, never add ties, and about halve the depth of a chain; there is no limit of rounds.
     """
-    both = written(ties.select("a", "b").unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "ties")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = labels.join(jump, "label").join(near.withColumnRenamed("a", "node"), "node")
-        after = written(after.select("node", F.least("near", "far", "label").alias("label"), (F.least("near", "far") < F.col("label")).alias("moved")), "labels")
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-class Links:
-    """Union-find over a task's classes."""
-
-    def __init__(self, labels: list[int]):
-        first: dict[int, int] = {}
-        self.parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.parent))], np.int64)
+    edges = written(forest(ties).distinct(), "ties")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("least"))
+        large = both.where("b > a").join(least.select("a", F.least("a", "least").alias("least")), "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = written(large, "ties")
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
+        discard(edges)
+        edges = written(small, "ties")
+        discard(large)
+        # Of stars, no centre is tied to a smaller node and no node to two.
+        centres = edges.select("b").distinct().withColumnRenamed("b", "a")
+        if edges.join(centres, "a", "left_semi").isEmpty() and edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres.select(F.col("a").alias("node"), F.col("a").alias("component")))
 
 
 def linked(table: pa.Table, similarity: int) -> pa.Table:
@@ -177,8 +190,8 @@ def linked(table: pa.Table, similarity: int) -> pa.Table:
     known, coded = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.zeros(len(known), bool)
-    links, limit = Links(table.column("component").to_pylist()), most_bits(similarity)
-    before = links.roots()
+    _, first, at = np.unique(table.column("component").to_numpy(), return_index=True, return_inverse=True)
+    before, limit = first[at], most_bits(similarity)
     roots = before.copy()
     for u in range(len(nodes) - 1):
         v = np.arange(u + 1, len(nodes))
@@ -194,9 +207,8 @@ def linked(table: pa.Table, similarity: int) -> pa.Table:
         both = np.array([np.count_nonzero(marked[coded[starts[i] : starts[i + 1]]]) for i in v])
         marked[own] = False
         for i in v[100 * both >= similarity * (sizes[u] + sizes[v] - both)]:
-            a, b = links.find(u), links.find(int(i))
-            links.parent[max(a, b)] = min(a, b)
-        roots = links.roots()
+            low, high = sorted((roots[u], roots[i]))
+            roots[roots == high] = low
     changed = nodes[roots] != nodes[before]
     return pa.table({"a": pa.array(nodes[before][changed], pa.int64()), "b": pa.array(nodes[roots][changed], pa.int64())})
 
@@ -221,10 +233,13 @@ def grouped(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -
     bands = signed.where("n_shingles > 0").join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
     signs = written(bands.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch").dropDuplicates(["node"]), "class-signatures")
 
+    # A bucket ties its members to its smallest; a node keeps one such tie, and its smallest ones are tied among themselves.
     rows = signs.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bucket_ties = rows.join(shared, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    clusters = components(bucket_ties).withColumnRenamed("component", "cluster")
+    firsts = rows.join(shared, "band").groupBy("node").agg(F.array_sort(F.collect_set("first")).alias("firsts"))  # one for each band at most
+    firsts = written(firsts.select("node", F.col("firsts")[0].alias("first"), F.expr("slice(firsts, 2, size(firsts))").alias("more")), "bucket-ties")
+    leads = components(firsts.select(F.col("first").alias("b"), F.explode("more").alias("a")).distinct()).withColumnRenamed("node", "first")
+    clusters = firsts.join(leads, "first", "left").select("node", F.coalesce("component", "first").alias("cluster"))
     near = written(clusters.join(signs, "node").select("node", "cluster", "n_shingles", "sketch"), "clustered")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +288,9 @@ def one_of_each(docs: DataFrame, words: int, similarity: int) -> DataFrame:
 
     Rows without a doc_id stay; of rows that repeat one, the longest text does (then the greatest).
     """
-    keep = grouped(docs, words, similarity).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    own = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    keep, kept_id, nth = grouped(docs, words, similarity).where("kept"), unused(docs, "kept_id"), unused(docs, "nth")
+    keep = keep.select(F.col("doc_id").alias(kept_id))
+    own = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col(kept_id), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("text")), F.desc("text"))
-    own = own.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    own = own.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return own.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dataward.llm import lm, maxscore, merkle, mixing, neardup, packing, pii, quality, urls, wordpiece
-from dataward.llm.common import arrow_words
+from dataward.llm.common import arrow_words, clear, discard, unused, written
 
 from . import brute
 
@@ -274,6 +274,47 @@ def test_sketch_distance_estimates_similarity():
         assert np.bitwise_count(x ^ other).sum() > limit
 
 
+
+@pytest.mark.parametrize("ids", [range(499, -1, -1), range(500), random.Random(1).sample(range(10_000), 500)])
+def test_components_of_chains(spark, ids):
+    """A chain settles from whichever end it is numbered, and however its ties are dealt out."""
+    ids = list(ids)
+    ties = [*zip(ids, ids[1:], strict=False), (20_000, 20_001), (20_002, 20_001), (30_000, 30_000)]
+    random.Random(2).shuffle(ties)
+    got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(ties, "a long, b long").repartition(16)).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys((20_000, 20_001, 20_002), 20_000)
+
+
+def test_near_duplicates_of_a_chain(spark):
+    """Each version is like the next and unlike those further off; the smallest id stands at the end."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(100)]
+    texts = {}
+    for i in range(160, -1, -1):
+        at = rng.randrange(100)
+        words[at] = f"x{i}"
+        texts[i] = " ".join(words)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.grouped(spark.createDataFrame([(d, t, None, None, None) for d, t in texts.items()], DOCS)).collect()}
+    assert got == brute.groups(texts, 3, 85)[0] and set(got.values()) == {0}
+
+
+def test_one_of_each_with_clashing_names(spark, odd_docs):
+    df = odd_docs.withColumns({"kept_id": F.lit(1), "_KEPT_ID": F.lit(2), "nth": F.lit(3)})
+    got = neardup.one_of_each(df, 5, 80)
+    assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} >= {100, 101, 102, None}
+
+
+def test_written_tables_go(spark):
+    kept = written(spark.range(5), "kept")
+    gone = written(spark.range(5), "gone")
+    discard(gone)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        gone.count()
+    assert clear(spark) >= 1 and clear(spark) == 0
+    assert unused(spark.createDataFrame([(1, 2)], "X int, _x int"), "x") == "__x"
+
+
 # 8
 
 
