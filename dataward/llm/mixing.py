@@ -27,31 +27,52 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-MOST, STEPS, SALTS, WEIGHTS = 3, 24, 32, (1, 2, 3)
+MOST, STEPS, WEIGHTS = 3, 24, (1, 2, 3)
+#: Salted groups of documents of one source and size: at least so many, and one for so many documents.
+SALTS, SALTED = 32, 20_000_000
+
+
+def _sized() -> tuple[Column, Column, Column]:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(*_sized())
+
+
+def numbered(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with nth (from 1) in an order and, by the names given, the sums of columns over all rows before.
+
+    Rows are dealt out by range, numbered and summed within each part, and moved on by the totals of the
+    parts before; no task holds more than its part, and there is one total for each part.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-parts-in-order")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    moved = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("n", *sums)])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumns({"nth": F.row_number().over(Window.partitionBy("_part").orderBy(*order))} | {name: F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
+    return own.join(F.broadcast(moved), "_part").withColumns({"nth": F.col("nth") + F.col("_n")} | {name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_part", "_n", *[f"_{name}" for name in sums])  # one row for each part
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sources (source, source_size) with target: the sources' weights share the whole, up to `most` times a source's size.
 
     Filling up by weight stops for the sources that are full first, so with sources in order of
-    size / weight a running sum finds the level at which the others share what is left. There is one
-    row for each source.
+    size / weight a running sum finds the level at which the others share what is left.
     """
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    nth = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int")
-    rows = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth + 1)).withColumn("full", F.col("source_size") * float(most))
-    by_level = Window.orderBy(F.col("full") / F.col("weight"), F.asc_nulls_last("source"))
-    so_far, whole = by_level.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("full").over(so_far), F.lit(0.0))
-    share = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(so_far), F.lit(0.0))
-    rows = rows.withColumn("_level", left / share).withColumn("_open", F.col("full") > F.col("_level") * F.col("weight"))
-    rows = rows.withColumn("_nth", F.row_number().over(by_level))
-    level = F.min(F.when(F.col("_open"), F.struct("_nth", "_level"))).over(whole)["_level"]
-    return rows.withColumn("target", F.when(level.isNull(), F.col("full")).otherwise(F.least(F.col("full"), level * F.col("weight")))).select("source", "source_size", "target")
+    rows = numbered(sources.select("source", "source_size"), [F.asc_nulls_last("source")], {})
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("nth") - 1, F.lit(len(weights))).cast("int") + 1)).withColumn("full", F.col("source_size") * float(most))
+    rows = rows.drop("nth").withColumn("_fill", F.col("full") / F.col("weight"))
+    rows = written(numbered(rows, [F.asc("_fill"), F.asc_nulls_last("source")], {"_full_before": "full", "_weight_before": "weight"}), "mix-levels")
+    whole = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if whole["size"] is None:
+        return rows.select("source", "source_size", F.lit(0.0).alias("target"))
+    level = (F.lit(float(whole["size"])) - F.col("_full_before")) / (F.lit(whole["weight"]) - F.col("_weight_before"))
+    found = rows.where(F.col("full") > level * F.col("weight")).agg(F.min_by(level, "nth")).first()[0]
+    target = F.col("full") if found is None else F.least(F.col("full"), F.lit(found) * F.col("weight"))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def balanced(classes: DataFrame, goals: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
@@ -97,14 +118,17 @@ def rounded(classes: pd.DataFrame, most: int = MOST) -> pd.DataFrame:
     return classes.assign(base=base, extra=extra)[["source", "size", "base", "extra"]]
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies * size)."""
-    salt: Column = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    sizes = written(sized(docs).withColumn("salt", salt), "mix-sizes")
-    parts = written(sizes.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-parts")
+def planned(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, int]:
+    """(source, size, salt, before, base, extra, source_size, target) for sizes (doc_id, source, size), and the number of salts.
+
+    Of the documents of a source, a size and a salt, `before` count as ranked before them: the first
+    `extra` of all salts get one copy more than `base`. There are more salts the more documents there are.
+    """
+    salts = max(SALTS, sizes.count() // SALTED)
+    parts = written(sizes.groupBy("source", "size", salted(salts).alias("salt")).agg(F.count(F.lit(1)).alias("n")), "mix-parts")
     classes = written(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-classes")
     sources = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
-    means = sources.select("source", "source_size", F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs")).alias("mean"))
+    means = written(sources.select("source", "source_size", F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs")).alias("mean")), "mix-sources")
     goals = targets(means.select("source", "source_size"), weights, most).alias("g").join(means.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.source", "g.source_size", "target", "mean")
     solved = balanced(classes, written(goals, "mix-goals"), most)
     rate = F.when(F.col("target") >= most * F.col("source_size"), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("mean"))))
@@ -115,16 +139,31 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     offsets = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     both = offsets.alias("o").join(copies.alias("c"), F.col("o.source").eqNullSafe(F.col("c.source")) & (F.col("o.size") == F.col("c.size"))).select("o.source", "o.size", "salt", "before", "base", "extra")
     both = both.alias("b").join(solved.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "size", "salt", "before", "base", "extra", "source_size", "target")
-    within = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
-    ranked = sizes.withColumn("nth", F.row_number().over(within) - 1)
-    joined = ranked.alias("r").join(both.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.size") == F.col("b.size")) & (F.col("r.salt") == F.col("b.salt")))
+    return written(both, "mix-plan"), salts
+
+
+def salted(salts: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+
+
+def assigned(rows: DataFrame, plan: DataFrame, salts: int, order: list[str]) -> DataFrame:
+    """rows (doc_id, source, size and more) with source_size, target and copies; repeated rows count one by one."""
+    rows = rows.withColumn("salt", salted(salts))
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(*order)) - 1)
+    joined = ranked.alias("r").join(plan.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.size") == F.col("b.size")) & (F.col("r.salt") == F.col("b.salt")))
     n_copies = F.col("base") + F.when(F.col("nth") + F.col("before") < F.col("extra"), 1).otherwise(0)
-    out = joined.select("doc_id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", n_copies.alias("copies"))
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns if c != "salt"], "source_size", "target", n_copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies * size)."""
+    sizes = written(sized(docs), "mix-sizes")
+    return assigned(sizes, *planned(sizes, weights, most), ["doc_id"]).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs with each row as many times as the mix takes it, with all its columns; rows that repeat a doc_id share their most copies."""
-    copies = mixed(docs, weights, most).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id").where("_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).drop("_copy", "_copies", "_mixed_id")
+    """docs with each row as many times as the mix takes it, with all its columns; repeated rows count one by one."""
+    plan, salts = planned(written(sized(docs), "mix-sizes"), weights, most)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_sized()).withColumn("hash", F.xxhash64("row.text"))
+    taken = assigned(rows, plan, salts, ["doc_id", "hash"]).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("row.*")
