@@ -10,21 +10,22 @@ Dice's coefficient of their distinct leaves: 2 * common / (leaves of one + leave
 empty texts are alike.
 
 Defined results: a null text counts as empty; "next" goes by descending doc_id (null last), among
-repeated ids by text, and wraps around, so a single document is its own next; an empty table gives an
-empty result; other columns are ignored.
+repeated ids by a hash of the text, and wraps around, so a single document is its own next; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = r"[^.!?,;:|\n]{1,32}[.!?,;:|\n]*|[.!?,;:|\n]+"
 SHORT = 8
-#: Documents in a range of ids, and the most ranges (each is sorted, and may spill, on its own).
-RANGE, RANGES = 500, 4096
+#: Documents in a range of ids, and the most ranges: beyond 16 million documents ranges grow, and each sorts and spills on its own.
+RANGE, RANGES = 500, 32_768
 LEAST = -(2**63)
 
 
@@ -74,37 +75,45 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, text and more), each with the next document's `columns` as next_<column>.
 
-    Ranges of ids get a window each. The first documents of a range also go, as sentinels, to the
-    range above, where they follow its last document; so no window spans ranges.
+    Ranges of ids get a window each; an id (or null) with more rows than a range holds gets several, by
+    a hash of the text. The first document of a range also goes, as a sentinel, to the range above,
+    where it follows that one's last document; so no window spans ranges.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(LEAST)))
+    docs = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(LEAST)), "_hash": F.xxhash64("text")})
     ids = docs.select("_key")
     n = ids.count()
     count = min(RANGES, max(1, n // RANGE))
-    cuts = ids.agg(F.percentile_approx("_key", [i / count for i in range(1, count)] or [0.5], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if count > 1 else []
-    # Two steps of about sqrt(ranges) comparisons find a key's range.
-    wide = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    cuts = sorted(ids.agg(F.percentile_approx("_key", [i / count for i in range(1, count)], 20_000)).first()[0] or []) if count > 1 else []
     if cuts:
-        below = lambda array, k: F.size(F.filter(array, lambda c: c <= k))
-        coarse = F.array(*[F.lit(g[0]).cast("long") for g in groups])
+        # Two steps of about sqrt(ranges) comparisons find a key's range.
+        wide = max(1, math.isqrt(len(cuts)))
+        groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+        edges = lambda at: F.array(*[F.lit(g[at]).cast("long") for g in groups])
         fine = F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups])
-        group = below(coarse, F.col("_key"))
-        docs = docs.withColumn("_group", group).withColumn("_range", F.when(F.col("_group") == 0, 0).otherwise((F.col("_group") - 1) * wide + below(F.element_at(fine, F.greatest(F.col("_group"), F.lit(1))), F.col("_key"))).cast("int")).drop("_group")
+
+        def place(below: Callable[[Column], Column]) -> Column:
+            """How many cuts are below: those of whole groups, and of the first group whose last one is not."""
+            whole = F.size(F.filter(edges(-1), below))
+            return whole * wide + F.coalesce(F.size(F.filter(F.get(fine, whole), below)), F.lit(0))
+
+        least, most = place(lambda c: c < F.col("_key")), place(lambda c: c <= F.col("_key"))
+        docs = docs.withColumns({"_least": F.least(least, F.lit(len(cuts))), "_most": F.least(most, F.lit(len(cuts)))})
+        share = F.pmod("_hash", F.lit(2**20)) / 2**20
+        # A key that is a cut has as many ranges as it is cuts; parts of it go by the hash.
+        docs = docs.withColumn("_range", F.when(F.col("_most") > F.col("_least"), F.col("_least") + 1 + F.floor(share * (F.col("_most") - F.col("_least")))).otherwise(F.col("_most")).cast("int")).drop("_least", "_most")
     else:
         docs = docs.withColumn("_range", F.lit(0))
-    firsts = sorted((r["_range"], r["first"]) for r in docs.groupBy("_range").agg(F.max("_key").alias("first")).collect())  # one row a range
-    if not firsts:
-        firsts = [(0, LEAST)]
+    by_hash = F.pmod("_hash", F.lit(2**20))
+    docs = docs.withColumn("_part", by_hash)
+    firsts = [(r["_range"], *r["first"]) for r in docs.groupBy("_range").agg(F.max(F.struct("_key", "_part", "_hash")).alias("first")).orderBy("_range").collect()]  # one row a range
     # A range's last document is followed by the first of the range below it; the lowest range's by the very first.
-    above = [(firsts[i][1], firsts[(i + 1) % len(firsts)][0]) for i in range(len(firsts))]
-    sentinels = spark.createDataFrame(above, "_key long, _to int").hint("broadcast")  # RANGES rows at most
-    sent = docs.join(sentinels, "_key").withColumn("_range", F.col("_to")).drop("_to").withColumn("_sentinel", F.lit(1))
+    above = [(*firsts[i][1:], firsts[(i + 1) % len(firsts)][0]) for i in range(len(firsts))]
+    sentinels = spark.createDataFrame(above, "_key long, _part long, _hash long, _to int").hint("broadcast")  # RANGES rows at most
+    sent = docs.join(sentinels, ["_key", "_part", "_hash"]).withColumn("_range", F.col("_to")).drop("_to").dropDuplicates(["_key", "_hash", "_range"]).withColumn("_sentinel", F.lit(1))
     rows = docs.withColumn("_sentinel", F.lit(0)).unionByName(sent)
-    order = Window.partitionBy("_range").orderBy("_sentinel", F.desc("_key"), "text")
-    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(F.col("_sentinel") == 0).drop("_key", "_range", "_sentinel")
+    order = Window.partitionBy("_range").orderBy("_sentinel", F.desc("_key"), F.desc("_part"), F.desc("_hash"), "text")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(F.col("_sentinel") == 0).drop("_key", "_part", "_hash", "_range", "_sentinel")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
