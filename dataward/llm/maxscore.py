@@ -1,11 +1,12 @@
 """Exact top-k by inner product: MaxScore over shards, merged.
 
-The terms of a query are its components. In a shard of vectors a term's contributions lie between two
-bounds, taken from the shard's least and greatest component; contributions are counted from the lower
-one, so that they are never negative. Terms whose upper bounds together can't reach the k-th best
-score so far are non-essential. The essential terms' postings are traversed for every vector (vectors
-are dense, so a posting holds the whole shard); non-essential terms are probed in order of falling
-bounds, and only for vectors that can still compete.
+The terms of a query are its components. In a shard of vectors each term has a score bound, its greatest
+contribution there, and a posting: the component of every vector (vectors are dense, so a posting holds
+the whole shard). Terms go by falling width of their contributions. The first ones are essential: their
+postings are traversed in full. The vectors best so far are then completed, which gives the k-th best
+score a close lower bound. The other terms are non-essential: they are probed in turn, and only for
+vectors that still compete, that is, whose score so far reaches the k-th best one together with what is
+left of the bounds, or of the norms of query and vector.
 
 Work is dealt out as (shard of vectors, block of queries) pairs, each of bounded size, and the pairs'
 best k are merged by query.
@@ -13,9 +14,8 @@ best k are merged by query.
 Defined results: vectors that are null or hold null or non-finite components take no part; a vec_id
 that repeats counts once, with its smallest vector; vectors of unlike lengths are compared as if the
 shorter ended in zeros; with fewer than k other vectors, all are returned; ties go to the smaller
-vec_id; rows with a null vec_id take no part; components are cut to, and scores wrap around in, 64 bits;
-an empty table gives an empty result; other columns are
-ignored.
+vec_id; rows with a null vec_id take no part; components are cut to 64 bits, and a score beyond 64 bits
+is an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 K, EVERY = 20, 20
-SHARD, BLOCK, CHUNK, PROBE = 16384, 4096, 2048, 8
-#: Below this, products and sums are exact in double precision; beyond it, integers are used.
+#: Most vectors and queries of a pair, and the fewest vectors that are worth one of their own.
+SHARD, BLOCK, LEAST = 16384, 4096, 1024
+#: Essential terms, and terms probed at a time.
+ESSENTIAL, PROBE = 16, 4
+#: Below this, products and sums are exact in double precision; beyond it, Python's integers are used.
 EXACT = 2**53
 
 
@@ -55,32 +58,57 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
-def maxscore(ids: np.ndarray, shard: np.ndarray, query_id: int, query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's k best for the query. low, high: the shard's least and greatest components."""
-    a, b = query * low, query * high
-    base, bound = np.minimum(a, b), np.abs(b - a)
-    order = np.argsort(-bound, kind="stable")
-    after = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, query.dtype)])  # bound of the terms from each place on
-    floor = base.sum()
-    top_ids, top = ids[:0], np.zeros(0, query.dtype)
-    for at in range(0, len(ids), CHUNK):
-        rows, own = shard[at : at + CHUNK], ids[at : at + CHUNK]
-        least = top[-1] - floor if len(top) == k else -1  # counted from the lower bounds
-        n = int(np.searchsorted(-after, -least, side="right")) if least >= 0 else len(order)  # after[n:] can't reach it
-        n = min(max(n, 1), len(order))
-        alive = np.arange(len(own))
-        part = rows[:, order[:n]] @ query[order[:n]] - base[order[:n]].sum()
+class Shard:
+    """A shard's postings, one row for each component, with bounds and norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors, self.postings = ids, vectors, np.ascontiguousarray(vectors.T)
+        self.low, self.high, self.squares = vectors.min(axis=0), vectors.max(axis=0), (vectors * vectors).sum(axis=1)
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The k best for the query, and how many products they took."""
+        a, b = query * self.low, query * self.high
+        order, bound = np.argsort(-np.abs(a - b), kind="stable"), np.maximum(a, b)
+        rest = lambda x: np.append(np.cumsum(x[order][::-1])[::-1], 0.0)  # noqa: E731  of the terms from each place on
+        bounds, norms = rest(bound), np.sqrt(rest(query * query))
+        n = min(ESSENTIAL, len(order))
+        part = query[order[:n]] @ self.postings[order[:n]]
+        seen = (self.postings[order[:n]] ** 2).sum(axis=0)
+        others = self.ids != query_id
+        done = n * len(part)
+        least = -np.inf
+        if n < len(order) and k < len(part):
+            ahead = np.argpartition(-np.where(others, part, -np.inf), min(2 * k, len(part) - 1))[: 2 * k]
+            ahead = ahead[others[ahead]]
+            whole = part[ahead] + self.vectors[np.ix_(ahead, order[n:])] @ query[order[n:]]
+            done += len(ahead) * (len(order) - n)
+            least = np.sort(whole)[-k] if len(whole) >= k else least
+        alive = np.flatnonzero(others)
+        part, seen = part[alive], seen[alive]
         while True:
-            keep = (part + after[n] >= least) & (own[alive] != query_id)
-            alive, part = alive[keep], part[keep]
-            if n == len(order) or not len(alive):
+            left = np.minimum(bounds[n], norms[n] * np.sqrt(np.maximum(self.squares[alive] - seen, 0.0)) * (1 + 1e-9))
+            keep = part + left >= least - 0.5  # scores are whole numbers
+            alive, part, seen = alive[keep], part[keep], seen[keep]
+            if n >= len(order) or not len(alive):
                 break
             probe = order[n : n + PROBE]
-            part = part + rows[np.ix_(alive, probe)] @ query[probe] - base[probe].sum()
+            own = self.vectors[np.ix_(alive, probe)]
+            part, seen = part + own @ query[probe], seen + (own * own).sum(axis=1)
+            done += own.size
             n += len(probe)
-        if len(alive):
-            top_ids, top = best(np.concatenate([top_ids, own[alive]]), np.concatenate([top, part + floor]), k)
-    return top_ids, top
+        return *best(self.ids[alive], part, k), done
+
+
+class LargeShard:
+    """A shard whose scores doubles can't hold: every product is made, in Python's integers."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors.astype(object)
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        scores = self.vectors @ query.astype(object)
+        found = sorted((-s, i) for s, i in zip(scores.tolist(), self.ids.tolist(), strict=True) if i != query_id)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64), scores.size * len(query)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = 64) -> DataFrame:
@@ -88,18 +116,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = 64) -
     vectors = written(integer_vectors(vectors, scale), "integer-vectors")
     shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max(F.size("x")).alias("width"), F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))).alias("top")).first()
     width, largest = shape["width"] or 0, int(shape["top"] or 0)
-    shards, blocks = max(1, -(-shape["n"] // SHARD)), max(1, -(-shape["q"] // BLOCK))
-    kind = np.float64 if largest * largest * max(width, 1) * 4 < EXACT else np.int64
+    blocks = max(1, -(-shape["q"] // BLOCK))
+    # Shards as large as a task may hold, unless there are too few pairs to go round.
+    pairs_wanted = 3 * shuffle_partitions(vectors.sparkSession)
+    shards = max(1, -(-shape["n"] // SHARD), min(-(-shape["n"] // LEAST), -(-pairs_wanted // blocks)))
+    exact = largest * largest * max(width, 1) * 4 < EXACT
 
     def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, shard = ids[order], matrix(left, width)[order].astype(kind)
-            low, high = shard.min(axis=0), shard.max(axis=0)
-            for query_id, query in zip(right.column("vec_id").to_pylist(), matrix(right, width).astype(kind), strict=True):
-                got, scores = maxscore(ids, shard, query_id, query, low, high, k)
+            ids, rows, queries_ = left.column("vec_id").to_numpy(), matrix(left, width), matrix(right, width)
+            shard = Shard(ids, rows.astype(np.float64)) if exact else LargeShard(ids, rows)
+            for query_id, query in zip(right.column("vec_id").to_pylist(), queries_.astype(np.float64) if exact else queries_, strict=True):
+                got, scores, _ = shard.top(query_id, query, k)
                 found.append((np.full(len(got), query_id), got, scores.astype(np.int64)))
         columns = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
