@@ -4,14 +4,16 @@ Plain detectors find e-mail addresses, IP addresses, card and phone numbers. The
 disguises - homoglyphs, wide and foreign digits, invisible characters, spelled digits, "at" and "dot"
 in brackets or words - into plain characters, each of which remembers the source characters it came
 from. The detectors run again on the plain text; what they find there and holds a disguise is mapped
-back and added, unless it overlaps a span of its kind. Offsets count code points, ends are exclusive.
+back and added, unless it lies within a plain span of its kind. Offsets count code points, ends are
+exclusive. What a rewritten text stands for is kept by stretches, so a few disguises in a long text cost little.
 Every transducer sees every text, so what is found in one place doesn't hang on the rest of the text.
 
 Each detector takes leftmost matches that don't overlap; a match that fails its check is dropped and
 not tried again in part. All of them are linear in the length of the text.
 
 Defined results: a null or empty text has no spans; rows are independent, so repeated rows and ties
-repeat; an empty table gives an empty result; other columns are ignored (redacted() keeps them).
+repeat; an empty table gives an empty result; other columns are ignored (redacted() keeps them, whatever
+their names).
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import text_batches, unused
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -126,27 +129,58 @@ def plain(text: str) -> list[tuple[str, int, int]]:
 
 
 class Plain:
-    """A text on its way to plain characters; each keeps the span of source characters it stands for."""
+    """A text on its way to plain characters; each stretch of it knows the source characters it stands for.
 
-    def __init__(self, text: str):
-        self.text, self.spans = text, None
+    A stretch is (place in the text, source start, source end, rewritten); in a rewritten one every
+    character stands for all its source characters, else each for its own.
+    """
 
-    def span(self, i: int) -> tuple[int, int, bool]:
-        return self.spans[i] if self.spans is not None else (i, i + 1, False)
+    def __init__(self, text: str):
+        self.text, self.stretches, self.places = text, [(0, 0, len(text), False)], [0]
+
+    @property
+    def rewritten(self) -> bool:
+        return len(self.stretches) != 1 or self.stretches[0][3]
+
+    def source(self, start: int, end: int) -> list[tuple[int, int, bool]]:
+        """(source start, source end, rewritten) of the stretches between two places."""
+        out, i = [], bisect_right(self.places, start) - 1
+        while i < len(self.stretches) and self.places[i] < end:
+            at, a, b, new = self.stretches[i]
+            last = self.places[i + 1] if i + 1 < len(self.places) else len(self.text)
+            out.append((a, b, True) if new else (a + max(start, at) - at, a + min(end, last) - at, False))
+            i += 1
+        return out
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Edits (start, end, new text) in order, none overlapping; new characters stand for all that they replace."""
         if not edits:
             return
-        out, spans, at = [], [], 0
-        every = self.spans if self.spans is not None else [(i, i + 1, False) for i in range(len(self.text))]
+        out, stretches, size, at = [], [], 0, 0
+
+        def keep(start: int, end: int) -> None:
+            nonlocal size
+            begun = size
+            for a, b, new in self.source(start, end) if start < end else ():
+                stretches.append((size, a, b, new))
+                size = min(size + b - a, begun + end - start) if not new else size
+                if new:  # as many characters as the stretch has between the two places
+                    i = bisect_right(self.places, start + size - begun) - 1
+                    last = self.places[i + 1] if i + 1 < len(self.places) else len(self.text)
+                    size = begun + min(last, end) - start
+            out.append(self.text[start:end])
+
         for start, end, new in edits:
-            out += (self.text[at:start], new)
-            spans += every[at:start]
-            spans += [(every[start][0], every[end - 1][1], True)] * len(new)
+            keep(at, start)
+            if new:
+                held = self.source(start, end)
+                stretches.append((size, held[0][0], held[-1][1], True))
+                out.append(new)
+                size += len(new)
             at = end
-        out.append(self.text[at:])
-        self.text, self.spans = "".join(out), spans + every[at:]
+        keep(at, len(self.text))
+        self.text, self.stretches = "".join(out), stretches or [(0, 0, 0, True)]
+        self.places = [x[0] for x in self.stretches]
 
 
 def folded(c: str) -> str:
@@ -199,13 +233,13 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     way.rewrite([(*m.span(), ".") for m in NUMBER_DOT.finditer(way.text)])
     way.rewrite(spelled_edits(way.text))
     way.rewrite([(m.start() + i, m.start() + i + 1, MIXED_DIGITS[c]) for m in MIXED.finditer(way.text) for i, c in enumerate(m[0]) if c in MIXED_DIGITS])
-    if way.spans is None:
+    if not way.rewritten:
         return []
     found = []
     for kind, start, end in plain(way.text):
-        inside = way.spans[start:end]
+        inside = way.source(start, end)
         gone = inside[-1][1] - inside[0][0] > sum(b - a for a, b, _ in dict.fromkeys(inside))  # invisible characters in between
-        if gone or any(x[2] for x in inside):
+        if gone or any(new for *_, new in inside):
             found.append((kind, inside[0][0], inside[-1][1]))
     return found
 
@@ -220,21 +254,35 @@ def spans(text: str | None) -> list[dict]:
     return [{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in sorted(every)]
 
 
-def found(docs: DataFrame, text: str = "text", spans_as: str = "spans") -> DataFrame:
-    """docs with the spans of its text column: array of struct(kind, start, end, base)."""
-    names = [c for c in docs.columns if c != spans_as]
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-    at = names.index(text)
+def redact(text: str | None) -> str | None:
+    """The text with each identifier replaced by its kind in brackets; overlapping spans count as one."""
+    if not text:
+        return text
+    out, at = [], 0
+    for s in spans(text):
+        if s["start"] >= at:
+            out += (text[at : s["start"]], f"[{s['kind'].upper()}]")
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _mapped(docs: DataFrame, text: str, name: str, kind: T.DataType, arrow: pa.DataType, of: Callable[[str | None], object]) -> DataFrame:
+    """docs with `of` of each whole text as the column `name`, in place of one of that name."""
+    names = [c for c in docs.columns if c != name]
+    rows = text_batches(docs).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(unused(docs, "_text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
-                some = batch.slice(part, 1000)
-                got = pa.array([spans(x) for x in some.column(at).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*some.columns, got], names=[*names, spans_as])
+                *kept, texts = batch.slice(part, 1000).columns
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([of(x) for x in texts.to_pylist()], arrow)], names=[*names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)]))
 
-    rows = text_batches(docs).select(*[F.col(f"`{c}`") for c in names])
-    return rows.mapInArrow(find, T.StructType([*rows.schema.fields, T.StructField(spans_as, SPANS_TYPE)]))
+
+def found(docs: DataFrame, text: str = "text", spans_as: str = "spans") -> DataFrame:
+    """docs with the spans of its text column: array of struct(kind, start, end, base)."""
+    return _mapped(docs, text, spans_as, SPANS_TYPE, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])), spans)
 
 
 def joined(spans_: Column) -> Column:
@@ -250,17 +298,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each identifier of the text replaced by its kind in brackets; overlapping spans count as one."""
-    order = docs.columns
-    rows = found(docs, spans_as="_spans")
-    text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        upto = F.greatest(s["start"], acc["at"])
-        before = F.substring(text, acc["at"].cast("int") + 1, (upto - acc["at"]).cast("int"))
-        label = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.concat(acc["text"], before, label).alias("text"), F.greatest(s["end"], acc["at"]).alias("at"))
-
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"].cast("int") + 1, F.char_length(text))))
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in order])
+    """docs with each identifier of the text replaced by its kind in brackets; null and empty texts stay."""
+    return _mapped(docs, "text", "text", T.StringType(), pa.string(), redact).select(*[F.col(f"`{c}`") for c in docs.columns])
