@@ -3,9 +3,10 @@
 A document's token ids, ended by an end id, are cut into pieces of the sequence length and one
 remainder. Only the histogram of piece lengths (at most one count for each length up to the sequence
 length) goes to the driver. There, lengths are placed longest first, each into the packs that are
-shortest so far, by counts of packing patterns rather than by document. Pieces then find their place
-by their rank among the pieces of their length: ranks come from counts of salted groups, so that no
-task has to hold all pieces of a common length.
+shortest so far, by counts of packing patterns rather than by document. Shorter pieces then find their
+place by their rank among the pieces of their length: ranks come from counts of salted groups, more of
+them the more pieces there are, so that no task has to hold all pieces of a common length. Full pieces
+need no rank and no shuffle: each is a sequence of its own.
 
 Defined results: a null text counts as empty (it has the end id only); an empty table gives an empty
 result; repeated rows are packed as often as they occur; other columns are ignored.
@@ -18,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches, written
 
-SEQUENCE, END_ID, SALTS = 2048, 1, 64
+SEQUENCE, END_ID = 2048, 1
+#: Salted groups of each length: at least so many, and one for so many pieces.
+SALTS, SALTED = 64, 50_000_000
 SPECIAL = "<|endoftext|>"
 #: Cached chunks of text in each Python worker; the cache is emptied when full.
 CACHE = 100_000
@@ -88,15 +92,18 @@ def encoder(vocabulary: str) -> ChunkEncoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids (little-endian unsigned 32-bit ids), doc_tokens: each document's ids and end id in pieces of at most length."""
+    """doc_id, start, length, ids (little-endian unsigned 32-bit ids), doc_tokens: each document's ids and end id in pieces of at most length.
+
+    task and nth number the full pieces as each task makes them.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, step = encoder(vocabulary), 4 * length
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end, task, full = np.asarray([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
                 some = batch.slice(part, 500)
-                doc_ids, starts, lengths, ids, totals = [], [], [], [], []
+                doc_ids, starts, lengths, ids, totals, nth = [], [], [], [], [], []
                 for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     whole = enc.ids(text or "") + end
                     for at in range(0, len(whole), step):
@@ -106,9 +113,11 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = SEQU
                         lengths.append(len(blob) // 4)
                         ids.append(blob)
                         totals.append(len(whole) // 4)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens"])
+                        nth.append(full if len(blob) == step else None)
+                        full += len(blob) == step
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64()), pa.array([task] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=["doc_id", "start", "length", "ids", "doc_tokens", "task", "nth"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, task int, nth long")
 
 
 def patterns(histogram: dict[int, int], length: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
@@ -158,30 +167,39 @@ def slots(packs: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
 
 
 def pack(parts: DataFrame, length: int = SEQUENCE) -> DataFrame:
-    """parts (doc_id, start, length and any more columns, each length at most `length`) with sequence_id and offset.
+    """parts (as of pieces(), with any more columns) with sequence_id and offset.
 
-    parts is read more than once, so hand over a written table. Sequences are gapless from offset 0.
+    parts is read more than once, so hand over a written table. Sequences are gapless from offset 0;
+    those of full pieces have ids above all others.
     """
-    spark, salt = parts.sparkSession, F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
-    parts = parts.withColumn("_salt", salt)
-    counts = parts.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    spark, names = parts.sparkSession, [c for c in parts.columns if c not in ("task", "nth")]
+    short = parts.select(F.struct(*names).alias("_row"), "length", "doc_id", "start").where(F.col("length") < length)
+    histogram = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer than `length` rows
+    packs = patterns(histogram, length)
+    places = spark.createDataFrame(slots(packs), "_length long, _from long, _to long, _sequence long, _times long, _at long")
+    short = short.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(SALTS, sum(histogram.values()) // SALTED))).cast("int"))
+    counts = short.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = written(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "piece-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `length` rows
-    places = spark.createDataFrame(slots(patterns(histogram, length)), "length long, _from long, _to long, _sequence long, _times long, _at long")
+    counts = written(counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "piece-counts")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
-    ranked = parts.withColumn("_in", F.row_number().over(within) - 1)
-    # Both tables are bounded by the sequence length: length * SALTS counts, and the patterns of a histogram of that many bins.
-    ranked = ranked.join(F.broadcast(counts.select("length", "_salt", "_before")), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    placed = ranked.join(F.broadcast(places.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    # Pieces and counts lie by length and salt, so that Spark needs no other shuffle to join them, and broadcasts counts only while they are small.
+    ranked = short.withColumn("_in", F.row_number().over(within) - 1).join(counts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
+    # Patterns come from a histogram of fewer than `length` bins, so their number is bounded, whatever the number of pieces.
+    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     nth = F.col("_rank") - F.col("_from")
-    placed = placed.withColumn("sequence_id", F.col("_sequence") + F.floor(nth / F.col("_times"))).withColumn("offset", F.col("_at") + F.pmod(nth, F.col("_times")) * F.col("length"))
-    return placed.select(*[c for c in parts.columns if c != "_salt"], "sequence_id", "offset")
+    placed = placed.select("_row.*", (F.col("_sequence") + F.floor(nth / F.col("_times"))).alias("sequence_id"), (F.col("_at") + F.pmod(nth, F.col("_times")) * F.col("length")).alias("offset"))
+    shared = sum(count for count, _ in packs)
+    full = parts.where(F.col("length") == length)
+    tasks = full.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select("task", (first + F.lit(shared)).alias("_first"))  # one row for each task that made pieces
+    full = full.join(F.broadcast(tasks), "task").select(*names, (F.col("_first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
     """The packing of docs with a checksum in place of each piece's ids."""
-    digests = pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    digests = pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "task", "nth")
     return pack(written(digests, "pieces"))
 
 
