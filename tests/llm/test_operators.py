@@ -212,10 +212,10 @@ def test_small_automaton():
 # 6
 
 
-@pytest.mark.parametrize("shard,chunk,scale", [(16384, 2048, 0.2), (37, 8, 0.2), (37, 8, 1e6)])
-def test_top_k(spark, monkeypatch, shard, chunk, scale):
+@pytest.mark.parametrize("shard,essential,scale", [(16384, 16, 0.2), (37, 3, 0.2), (37, 3, 1e6), (60, 1, 5e6)])
+def test_top_k(spark, monkeypatch, shard, essential, scale):
     monkeypatch.setattr(maxscore, "SHARD", shard)
-    monkeypatch.setattr(maxscore, "CHUNK", chunk)
+    monkeypatch.setattr(maxscore, "ESSENTIAL", essential)
     monkeypatch.setattr(maxscore, "BLOCK", 4)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, scale, 12))], 0) for i in range(150)]
@@ -229,6 +229,29 @@ def test_top_k(spark, monkeypatch, shard, chunk, scale):
             want |= {(q, n, c, -s) for n, (s, c) in enumerate(scored, 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert maxscore.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    clashing = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"x": F.lit(1), "rank": F.lit(2), "shard": F.lit(3), "score": F.lit(4)})
+    assert {tuple(r) for r in maxscore.top_k(clashing).collect()} == want
+
+
+def test_maxscore_prunes():
+    """Most products of unlikely vectors are left out, and none that count."""
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * rng.normal(0, 0.125, (3000, 64)))
+    shard, done = maxscore.Shard(np.arange(3000), x), 0
+    for q in range(0, 3000, 150):
+        ids, scores, n = shard.top(q, x[q], 20)
+        every = x @ x[q]
+        every[q] = -np.inf
+        order = np.lexsort((np.arange(3000), -every))[:20]
+        assert ids.tolist() == order.tolist() and scores.tolist() == every[order].tolist()
+        done += n
+    assert done / (20 * x.size) < 0.7
+
+
+def test_scores_beyond_64_bits_fail(spark):
+    rows = [(i, [9e16, 9e16]) for i in (20, 21)]
+    with pytest.raises(Exception, match="OverflowError|int too|too large"):
+        maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
 
 
 # 7
@@ -408,6 +431,66 @@ def test_pii_digests_and_redaction(spark, odd_docs, no_docs):
     assert pii.redacted(odd_docs).columns == odd_docs.columns
 
 
+
+@pytest.mark.parametrize("words", [5000, 200_000])
+def test_redaction_of_long_texts(spark, words):
+    """Time follows the length; a 1.2 MB text holds 100,000 spans."""
+    text = " ".join(f"u{i}@h{i % 7}.org" if i % 2 else f"say{i}" for i in range(words))
+    got = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, spans string")
+    got = got.withColumns({"_spans": F.lit(1), "_text": F.lit(2)})
+    out = {r["doc_id"]: r for r in pii.redacted(got).collect()}
+    assert out[1]["text"] == " ".join("[EMAIL]" if i % 2 else f"say{i}" for i in range(words))
+    assert (out[2]["text"], out[3]["text"], out[1]["_spans"], out[1]["_text"], out[1]["spans"]) == (None, "", 1, 2, "x") and pii.redacted(got).columns == got.columns
+
+
+def test_planted_disguises():
+    """Disguised identifiers among ordinary words: most are found, and little else."""
+    rng = random.Random(8)
+    digits = "zero one two three four five six seven eight nine".split()
+    swap = str.maketrans("aeopc", "аеорс")
+
+    def email():
+        name, host = rng.choice(("ann", "bob.lee", "c_d")), rng.choice(("mail", "post-box", "web")) + str(rng.randint(1, 9))
+        return rng.choice([f"{name} at {host} dot com", f"{name} [at] {host} [dot] org", f"{name}(at){host}.net", f"{name}@{host} . com", f"{name}@{host}.com".translate(swap), f"{name}＠{host}.com", f"{name}@{host}​.com"])
+
+    def phone():
+        n = [rng.randint(0, 9) for _ in range(10)]
+        return rng.choice(["+" + " ".join(digits[d] for d in n), "plus " + " ".join(digits[d] for d in n), "+" + "".join(chr(0xFF10 + d) for d in n), "+1" + "".join(map(str, n[:4])) + "O" + "".join(map(str, n[4:8]))])
+
+    found = planted = extra = 0
+    for i in range(400):
+        words = [rng.choice(("lorem", "ipsum", "dolor", "mit", "der", "la", "home,", "Now.", "12", "3.5")) for _ in range(30)]
+        kind, what = ("email", email()) if i % 2 else ("phone", phone())
+        before = " ".join(words[:15]) + " : "
+        text = before + what + " ; " + " ".join(words[15:])
+        got = [(s["kind"], s["start"], s["end"]) for s in pii.spans(text) if not s["base"]]
+        planted += 1
+        hit = [g for g in got if g[0] == kind and g[1] <= len(before) + 1 and g[2] >= len(before) + len(what) - 1]
+        found += bool(hit)
+        extra += len(got) - len(hit)
+    assert found / planted >= 0.95 and extra / planted <= 0.02, (found, extra, planted)
+
+
+def test_rewritten_text_keeps_its_sources():
+    """Stretches tell the same source characters as a mapping of every single character."""
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30)))
+        way, now, spans = pii.Plain(text), text, [(i, i + 1, False) for i in range(len(text))]
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(now) + 1), min(len(now) + 1, 2 * rng.randint(0, 3))))
+            edits = [(s, e, "XYZ"[: rng.randint(0, 3)]) for s, e in zip(cuts[::2], cuts[1::2], strict=False)]
+            for s, e, new in reversed(edits):
+                spans[s:e] = [(spans[s][0], spans[e - 1][1], True)] * len(new)
+                now = now[:s] + new + now[e:]
+            way.rewrite(edits)
+            assert way.text == now
+            for s in range(len(now)):
+                e = rng.randint(s + 1, len(now))
+                got = [x for a, b, new in way.source(s, e) for x in ([(a, b, True)] if new else [(i, i + 1, False) for i in range(a, b)])]
+                assert list(dict.fromkeys(got)) == list(dict.fromkeys(spans[s:e]))
+
+
 # 9
 
 
