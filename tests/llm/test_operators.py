@@ -170,6 +170,33 @@ def test_lm_scores(spark, odd_docs, no_docs):
     assert lm.scores(odd_docs).count() == odd_docs.count() and lm.scores(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1 << 21, 200])
+def test_lm_word_probabilities_sum_to_one(spark, monkeypatch, pairs):
+    """After any history, the words of the training documents, the end sign and one unknown word a class share all."""
+    monkeypatch.setattr(lm, "PAIRS", pairs)
+    rng = random.Random(4)
+    vocabulary = [f"{c}{k}" for c in "abcdefgh" for k in range(40)]
+    texts = [(i, " ".join(rng.choice(vocabulary[: 40 * (1 + i % 8)]) for _ in range(rng.randint(1, 60)))) for i in range(150)]
+    model = lm.fitted(spark.createDataFrame(texts, "doc_id long, text string"))
+    use = lm.prepared(*model.lookups.value)
+    assert (len(model.weights.value[1][0]) > 200) == (pairs > 200) and len(model.weights.value[1][0]) > 0
+    for history in ("a1", "a1 a2", "b7 unknown", "c3 h39", " ".join(vocabulary[:9])):
+        _, classes, codes, docs, _, _ = lm.encoded(pa.array([f"{history} {w}" for w in use["words"][1:]] + [history]), use)
+        n = np.bincount(docs)
+        at = np.append(np.cumsum(n)[:-1] - 2, len(docs) - 1)  # the word after the history, or its end
+        logs, kinds = lm.token_logs(use, model.weights.value, classes, codes, docs)[at], classes[at]
+        places = np.append(np.arange(1, len(use["words"])), 0)
+        p = np.exp(logs) * (use["n"][places] + lm.ADDED) / model.in_class[kinds]
+        unknown = {}
+        for w in (f"x{a}{b}" for a in "abcdefghijklmn" for b in range(40)):
+            unknown.setdefault(zlib.crc32(w[-2:].encode()) % lm.SHARED + lm.OWN + 1, w)
+        assert len(unknown) == lm.SHARED
+        _, classes, codes, docs, _, _ = lm.encoded(pa.array([f"{history} {w}" for w in unknown.values()]), use)
+        at = np.cumsum(np.bincount(docs)) - 2
+        rest = np.exp(lm.token_logs(use, model.weights.value, classes, codes, docs)[at]) * lm.ADDED / model.in_class[classes[at]]
+        assert p.sum() + rest.sum() == pytest.approx(1, abs=2e-3)
+
+
 def test_lm_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
