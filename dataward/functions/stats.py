@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from calendar import monthrange
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -40,16 +41,15 @@ def period(text: str, month_days: int = 30) -> timedelta:
     return {"h": timedelta(hours=n), "d": timedelta(days=n), "w": timedelta(weeks=n), "m": timedelta(days=month_days * n)}[unit]
 
 
-def since(text: str, now: datetime) -> datetime:
-    """The moment that long ago; months follow the calendar."""
+def since(text: str, now: datetime, run_over: bool = False) -> datetime:
+    """The moment that long ago; months follow the calendar.
+
+    Where the month lacks the day, it is its last one or, with run_over, as many days into the next month.
+    """
     m = _period.fullmatch(text)
     if not m or m[2] != "m":
         return now - period(text)
-    months = now.year * 12 + now.month - 1 - int(m[1])
-    year, month = divmod(months, 12)
-    for day in range(now.day, 27, -1):
-        try:
-            return now.replace(year=year, month=month + 1, day=day)
-        except ValueError:
-            continue
-    return now.replace(year=year, month=month + 1)
+    year, month = divmod(now.year * 12 + now.month - 1 - int(m[1]), 12)
+    first = now.replace(year=year, month=month + 1, day=1)
+    days = now.day if run_over else min(now.day, monthrange(year, month + 1)[1])
+    return first + timedelta(days=days - 1)

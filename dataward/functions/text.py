@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import BadRequestError
+
 
 def _squeezed(c: Column, length: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, length)
@@ -48,13 +52,17 @@ def subdomain(host: Column) -> Column:
 
 # Kinds of errors by what their message holds, in order.
 ERROR_KINDS = (
-    ("Connection Error", ("connection", "connect")),
-    ("Timeout Error", ("timeout", "timed out")),
-    ("Constraint Violation", ("constraint", "unique", "duplicate", "foreign key")),
-    ("Syntax Error", ("syntax",)),
-    ("Permission Error", ("permission", "denied", "unauthorized")),
-    ("Not Found", ("not found", "does not exist", "no such")),
+    ("Connection Error", ("connection", "econnrefused")),
+    ("Timeout Error", ("timeout",)),
+    ("Syntax Error", ("syntax", "parse")),
+    ("Constraint Violation", ("constraint", "violates")),
+    ("Unique Violation", ("unique",)),
+    ("Foreign Key Violation", ("foreign key",)),
+    ("Permission Error", ("permission", "denied")),
+    ("Not Found Error", ("not found", "does not exist")),
+    ("Deadlock Error", ("deadlock",)),
 )
+OTHER_KIND = "Other Error"
 
 
 def error_kind(message: Column) -> Column:
@@ -65,4 +73,65 @@ def error_kind(message: Column) -> Column:
         for w in words:
             hit = hit | low.contains(w)
         kind = kind.when(hit, name)
-    return kind.otherwise("Other")
+    return kind.otherwise(OTHER_KIND)
+
+
+# The longest identifier and what it may hold.
+IDENTIFIER_LENGTH, IDENTIFIER = 128, r"[a-zA-Z_][a-zA-Z0-9_.]*"
+
+
+def valid_identifier(name: Column) -> Column:
+    return F.coalesce((F.char_length(name) <= IDENTIFIER_LENGTH) & name.rlike(rf"\A{IDENTIFIER}\z"), F.lit(False))
+
+
+def check_identifier(name: str, what: str = "identifier") -> str:
+    if len(name) > IDENTIFIER_LENGTH or not re.fullmatch(IDENTIFIER, name, re.ASCII):
+        raise BadRequestError(f"invalid {what}: {name}")
+    return name
+
+
+def quoted(name: str) -> str:
+    """The name as one identifier of SQL, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def qualified(*parts: str | None) -> str:
+    return ".".join(quoted(p) for p in parts if p)
+
+
+# The keywords that begin a line of formatted SQL, in the order in which they are looked for.
+LINE_KEYWORDS = (
+    "SELECT", "FROM", "WHERE", "JOIN", "LEFT JOIN", "RIGHT JOIN", "INNER JOIN", "OUTER JOIN", "CROSS JOIN", "ORDER BY", "GROUP BY", "HAVING", "LIMIT", "OFFSET",
+    "INSERT INTO", "VALUES", "UPDATE", "SET", "DELETE FROM", "UNION", "EXCEPT", "INTERSECT", "ON", "AND", "OR", "RETURNING",
+)
+
+
+def minified_sql(sql: Column) -> Column:
+    """One line, with one space where there is any, and commas and brackets spaced alike."""
+    for pattern, put in ((r"\s+", " "), (r"\s*,\s*", ", "), (r"\s*\(\s*", " ("), (r"\s*\)\s*", ") ")):
+        sql = F.regexp_replace(sql, pattern, put)
+    return F.trim(sql)
+
+
+def formatted_sql(sql: Column) -> Column:
+    """A line for each keyword that has space around it."""
+    for word in LINE_KEYWORDS:
+        sql = F.regexp_replace(sql, rf"(?i)\s+({word})\s+", "\n$1 ")
+    return F.regexp_replace(sql, r"^\s+|\s+$", "")
+
+
+def pretty_sql(sql: Column, indent: int = 2) -> Column:
+    """formatted_sql() with brackets on lines of their own: each opening one is set further in, each closing one back."""
+    margin = lambda level: F.repeat(F.lit(" " * indent), level)
+    text = formatted_sql(sql)
+    parts = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("opened"), F.size(F.filter(parts, lambda x: x == "(")).alias("level"))
+
+    def step(a: Column, x: Column) -> Column:
+        opened = a["opened"] + F.when(x == "(", 1).otherwise(0)
+        level = F.greatest(F.lit(0), a["level"] - F.when(x == ")", 1).otherwise(0))
+        put = F.when(x == "(", F.concat(F.lit("(\n"), margin(opened))).when(x == ")", F.concat(F.lit("\n"), margin(level), F.lit(")"))).otherwise(x)
+        return F.struct(F.concat(a["text"], put).alias("text"), opened.alias("opened"), level.alias("level"))
+
+    done = F.aggregate(parts, start, step, lambda a: a["text"])
+    return F.regexp_replace(F.regexp_replace(done, r"\n\s*\n", "\n"), r"^\s+|\s+$", "")

@@ -45,6 +45,11 @@ class Runner:
         done = self.executed()
         return [(m.name, m.name in done) for m in self.migrations]
 
+    def locked_up(self, **options: Any) -> list[str]:
+        """up(), while no other runner of the store may run."""
+        with self.store.lock("_migrations.lock"):
+            return self.up(**options)
+
     def up(self, to: str | None = None, dry_run: bool = False, stop_on_error: bool = True) -> list[str]:
         done = self.executed()
         batch = max(done.values(), default=0) + 1

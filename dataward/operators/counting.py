@@ -29,10 +29,14 @@ def grouped(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
 
 
+def group_sizes(df: DataFrame, column: str) -> DataFrame:
+    """value, n: counts by the column's value as text; null goes by "null"."""
+    return grouped(df.select(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")), "value")
+
+
 def grouped_counts(df: DataFrame, column: str) -> dict[str, int]:
-    """Counts by the column's value as text; null goes by "null". For columns of few values."""
-    rows = grouped(df.select(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")), "value").collect()
-    return {r["value"]: r["n"] for r in rows}
+    """group_sizes() as a mapping, for columns of few values."""
+    return {r["value"]: r["n"] for r in group_sizes(df, column).collect()}
 
 
 def distinct_count(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:

@@ -88,6 +88,23 @@ def upsert(current: DataFrame, batch: DataFrame, conflict: Sequence[str], update
     return Change(changed.after.unionByName(fresh), changed.affected.unionByName(fresh))
 
 
+def add_or_insert(current: DataFrame, batch: DataFrame, conflict: Sequence[str], add: Sequence[str]) -> Change:
+    """Rows with known keys get the batch's values of `add` added (null counts as 0) and stay as they are otherwise; the others are inserted.
+
+    Rows of the batch that share a key are summed first; of other columns the greatest value counts.
+    """
+    rest = [c for c in batch.columns if c not in conflict and c not in add]
+    summed = batch.groupBy(*conflict).agg(*[F.sum(c).alias(c) for c in add], *[F.max(c).alias(c) for c in rest])
+    more = summed.select(*conflict, *[F.coalesce(F.col(c), F.lit(0)).alias(f"_more_{c}") for c in add], F.lit(True).alias("_hit"))
+    types = dict(current.dtypes)
+    both = current.join(more, list(conflict), "left").select(
+        *[F.when(F.col("_hit"), F.coalesce(F.col(c), F.lit(0)) + F.col(f"_more_{c}")).otherwise(F.col(c)).cast(types[c]).alias(c) if c in add else F.col(c) for c in current.columns], "_hit"
+    )
+    fresh = summed.join(current.select(*conflict), list(conflict), "left_anti")
+    fresh = fresh.select(*[(F.col(c) if c in batch.columns else F.lit(None)).cast(t).alias(c) for c, t in current.dtypes])
+    return Change(both.drop("_hit").unionByName(fresh), both.filter("_hit").drop("_hit").unionByName(fresh))
+
+
 def transition(current: DataFrame, where: Column, from_: str, to: str, column: str = "status", more: Mapping[str, Any] | None = None) -> Change:
     """Compare and set: rows that match where and still have the old status."""
     return update(current, where & (F.col(column) == from_), {column: to, **(more or {})})

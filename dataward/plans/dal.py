@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from functools import reduce, wraps
 from typing import Any
 
@@ -52,11 +53,11 @@ def chain(first: Query, *steps: Query) -> Query:
 
 
 def parallel(**queries: Query) -> Query:
-    """A mapping of results. Actions inside run side by side; DataFrames stay lazy."""
+    """A mapping of results. Actions inside run side by side, each as the caller's user; DataFrames stay lazy."""
 
     def run(context: Session | Transaction, *args: Any) -> dict[str, Any]:
         with ThreadPoolExecutor(max(1, len(queries))) as pool:
-            jobs = {k: pool.submit(q, context, *args) for k, q in queries.items()}
+            jobs = {k: pool.submit(copy_context().run, q, context, *args) for k, q in queries.items()}
             return {k: j.result() for k, j in jobs.items()}
 
     return run

@@ -31,6 +31,8 @@ class Write:
     before: DataFrame | None = None
     after: DataFrame | None = None
     patch: dict[str, Any] = field(default_factory=dict)
+    #: The columns that the caller sets, before any stamps.
+    given: tuple[str, ...] = ()
     flags: dict[str, Any] = field(default_factory=dict)
 
 
@@ -130,14 +132,17 @@ class Repository:
 
     # Writes: guard, stamp, write, record
 
-    def _run(self, write: Write, apply: Callable[[], writes.Change]) -> writes.Change:
+    def _run(self, write: Write, plan: Callable[[], writes.Change], check: Callable[[writes.Change], None] | None = None) -> writes.Change:
+        """Guards see the rows as they were and as they will be; nothing is written if one of them, or the check, objects."""
         for p in self.session.plugins:
             p.stamp(write)
+        change = plan()
+        write.after = change.affected if write.operation != "delete" else None
         for p in self.session.plugins:
             p.guard(write)
-        change = apply()
+        if check:
+            check(change)
         self.session.overlay[self.name] = change.after
-        write.after = change.affected if write.operation != "delete" else None
         for p in self.session.plugins:
             p.record(write)
         return change
@@ -148,19 +153,23 @@ class Repository:
     def create_many(self, rows: Sequence[Mapping[str, Any]] | DataFrame) -> DataFrame:
         current = self.raw
         new = rows if isinstance(rows, DataFrame) else writes.rows_of(current, rows)
-        write = self._write("create", after=new)
+        given = tuple(new.columns) if isinstance(rows, DataFrame) else tuple(dict.fromkeys(c for r in rows for c in r))
+        write = self._write("create", after=new, given=given)
         if len(self.spec.key) == 1 and not isinstance(rows, DataFrame) and any(r.get(self.spec.key[0]) is None for r in rows):
             key = self.spec.key[0]
             last = current.agg(F.max(key)).first()[0] or 0
             write.after = writes.rows_of(current, [{**r, key: r.get(key) if r.get(key) is not None else last + i + 1} for i, r in enumerate(rows)])
 
-        def apply() -> writes.Change:
-            writes.check_rows(write.after, self.spec.required, self.checks)
-            keys = current.select(*self.spec.key).unionByName(write.after.select(*self.spec.key))
-            writes.check_unique(keys.join(write.after.select(*self.spec.key), list(self.spec.key), "left_semi"), self.spec.key)
-            return writes.insert(current, write.after)
+        def check(change: writes.Change) -> None:
+            writes.check_rows(change.affected, self.spec.required, self.checks)
+            self._check_keys(change)
+
+        return self._run(write, lambda: writes.insert(current, write.after), check).affected
 
-        return self._run(write, apply).affected
+    def _check_keys(self, change: writes.Change) -> None:
+        """Only rows that share a key with an affected one can break its uniqueness."""
+        keys = list(self.spec.key)
+        writes.check_unique(change.after.select(*keys).join(change.affected.select(*keys), keys, "left_semi"), self.spec.key)
 
     def create(self, row: Mapping[str, Any]) -> Row:
         return self.create_many([row]).first()
@@ -180,15 +189,11 @@ class Repository:
         before = current.filter(condition)
         if before.count() < expected:
             raise NotFoundError(f"{self.name}: not all rows to update are there")
-        write = self._write("update", before=before, patch=dict(patch))
-        write.after = writes.update(before, F.lit(True), write.patch).affected
-
-        def apply() -> writes.Change:
-            change = writes.update(current, condition, write.patch)
-            writes.check_rows(change.affected, self.spec.required, self.checks)
-            return change
+        write = self._write("update", before=before, patch=dict(patch), given=tuple(patch))
+        return self._run(write, lambda: writes.update(current, condition, write.patch), self._check_rows).affected
 
-        return self._run(write, apply).affected
+    def _check_rows(self, change: writes.Change) -> None:
+        writes.check_rows(change.affected, self.spec.required, self.checks)
 
     def delete(self, key: Any) -> bool:
         return self.delete_many([key]) > 0
@@ -216,16 +221,35 @@ class Repository:
         else:
             batch = rows
         on = list(conflict or self.spec.key)
-        write = self._write("upsert", before=current.join(batch.select(*on), on, "left_semi"), after=batch)
-        return self._run(write, lambda: writes.upsert(current, batch, on, update_columns, "_sequence" if "_sequence" in batch.columns else None)).affected
+        write = self._write("upsert", before=current.join(batch.select(*on), on, "left_semi"), after=batch, given=tuple(c for c in batch.columns if c != "_sequence"))
+
+        def check(change: writes.Change) -> None:
+            self._check_rows(change)
+            if set(on) != set(self.spec.key):
+                self._check_keys(change)
+
+        return self._run(write, lambda: writes.upsert(current, write.after, on, update_columns, "_sequence" if "_sequence" in batch.columns else None), check).affected
+
+    def add_or_insert(self, rows: Sequence[Mapping[str, Any]], add: Sequence[str], conflict: Sequence[str] | None = None) -> DataFrame:
+        """Adds columns of the rows to those of the known rows with their keys, and inserts the others."""
+        current, on = self.raw, list(conflict or self.spec.key)
+        if not rows:
+            return current.filter(F.lit(False))
+        batch = writes.rows_of(current.select(*rows[0]), rows)
+        write = self._write("upsert", before=current.join(batch.select(*on), on, "left_semi"), after=batch, given=tuple(batch.columns))
+
+        def check(change: writes.Change) -> None:
+            self._check_rows(change)
+            self._check_keys(change)
+
+        return self._run(write, lambda: writes.add_or_insert(current, write.after, on, add), check).affected
 
     def transition(self, where: Mapping[str, Any], from_: str, to: str, column: str = "status", more: Mapping[str, Any] | None = None) -> Row | None:
         """Compare and set of a status; None if no row matched."""
         current = self.raw
-        change = writes.transition(current, compile_where(where, current.columns), from_, to, column, more)
-        write = self._write("update", before=current.filter(compile_where(where, current.columns) & (F.col(column) == from_)), patch={column: to, **(more or {})}, after=change.affected)
-        first = change.affected.first()
-        if first is None:
+        hit = compile_where(where, current.columns) & (F.col(column) == from_)
+        before, patch = current.filter(hit), {column: to, **(more or {})}
+        if before.isEmpty():
             return None
-        self._run(write, lambda: change)
-        return first
+        write = self._write("update", before=before, patch=patch, given=tuple(patch))
+        return self._run(write, lambda: writes.update(current, hit, write.patch), self._check_rows).affected.first()

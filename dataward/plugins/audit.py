@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Sequence
+import json
+from collections.abc import Callable, Collection, Mapping, Sequence
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +19,10 @@ from ..operators.where import applies_to_table
 from .base import AUDIT, Plugin
 
 OPERATIONS = {"create": "INSERT", "update": "UPDATE", "delete": "DELETE"}
-COLUMNS = ("table_name", "entity_id", "operation", "old_values", "new_values", "changed_by", "changed_at")
-LOG_SCHEMA = "table_name string, entity_id string, operation string, old_values string, new_values string, changed_by string, changed_at timestamp_ntz"
+COLUMNS = ("id", "table_name", "entity_id", "operation", "old_values", "new_values", "changed_by", "changed_at", "metadata")
+LOG_SCHEMA = "id long, table_name string, entity_id string, operation string, old_values string, new_values string, changed_by string, changed_at timestamp_ntz, metadata string"
+#: An entry's id is its write's number, with place for so many bits of its row's number below.
+ROW_BITS, GROUPS = 40, 1024
 FIELDS = "map<string,string>"
 
 
@@ -39,17 +44,35 @@ def diff_entries(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Dat
     return both.filter(~F.col("old_values").eqNullSafe(F.col("new_values"))).select(entity_id(key).alias("entity_id"), operation.alias("operation"), "old_values", "new_values")
 
 
+def with_ids(entries: DataFrame, batch: int) -> DataFrame:
+    """entries of one write (one for each entity) with ids: rows are numbered within groups by hash, so no task numbers them all."""
+    group = F.pmod(F.xxhash64("entity_id"), F.lit(GROUPS))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("entity_id")) - 1
+    return entries.withColumn("id", F.lit(batch << ROW_BITS) + nth.cast("long") * GROUPS + group)
+
+
 class Audit(Plugin):
-    """Keeps entries as a DataFrame; `sink` gets each write's entries, by default they gather in entries."""
+    """Keeps entries as a DataFrame; `sink` gets each write's entries, by default they gather in entries.
+
+    `log` gives the log stored so far, so that ids go on from it; `metadata` what is noted with each write.
+    """
 
     name, priority = "audit", AUDIT
 
-    def __init__(self, only: Collection[str] | None = None, without: Collection[str] | None = None, user: Callable[[], Any] | None = None, clock: Callable[[], datetime] | None = None, sink: Callable[[DataFrame], None] | None = None):
-        self.only, self.without, self.sink = only, without, sink
+    def __init__(self, only: Collection[str] | None = None, without: Collection[str] | None = None, user: Callable[[], Any] | None = None, clock: Callable[[], datetime] | None = None, sink: Callable[[DataFrame], None] | None = None, log: Callable[[], DataFrame] | None = None, metadata: Callable[[], Mapping[str, Any]] | None = None):
+        self.only, self.without, self.sink, self.log, self.metadata = only, without, sink, log, metadata
+        self.batch: int | None = None
         self.user = user or (lambda: str(c.user_id) if (c := auth.current()) else None)
         self.clock = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
         self.entries: DataFrame | None = None
 
+    def _next(self) -> int:
+        if self.batch is None:
+            last = self.log().agg(F.max("id")).first()[0] if self.log else None
+            self.batch = (last or 0) >> ROW_BITS
+        self.batch += 1
+        return self.batch
+
     def record(self, write: Any) -> None:
         if not applies_to_table(write.table, self.only, self.without):
             return
@@ -59,7 +82,8 @@ class Audit(Plugin):
         if after is None:
             after = before.limit(0)
         rows = diff_entries(before, after.select(*before.columns), write.key)
-        rows = rows.select(F.lit(write.table).alias("table_name"), "entity_id", "operation", "old_values", "new_values", F.lit(self.user()).cast("string").alias("changed_by"), F.lit(self.clock()).cast("timestamp_ntz").alias("changed_at"))
+        noted = json.dumps(dict(self.metadata())) if self.metadata else None
+        rows = with_ids(rows, self._next()).select("id", F.lit(write.table).alias("table_name"), "entity_id", "operation", "old_values", "new_values", F.lit(self.user()).cast("string").alias("changed_by"), F.lit(self.clock()).cast("timestamp_ntz").alias("changed_at"), F.lit(noted).cast("string").alias("metadata"))
         if self.sink:
             self.sink(rows)
         else:
@@ -100,28 +124,31 @@ def user_changes(log: DataFrame, user: str, table: str | None = None) -> DataFra
 def state_at(log: DataFrame, moment: Any = None, keys: Sequence[str] = ("table_name", "entity_id")) -> DataFrame:
     """Each entity's state after all entries up to a moment: keys, state (map; null when deleted).
 
-    An INSERT starts anew, an UPDATE merges, a DELETE clears. Entries before an entity's last INSERT or
-    DELETE can't matter, so they are dropped before the rest is folded in order.
+    An INSERT starts anew, an UPDATE merges, a DELETE clears. So of each field the last value after the
+    entity's last INSERT or DELETE counts; both are maxima, which no task has to list an entity's entries for.
     """
     rows = log.filter(F.col("changed_at") <= F.lit(moment)) if moment is not None else log
-    resets = F.struct("changed_at", "id")
-    last = Window.partitionBy(*keys).orderBy("changed_at", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_reset", F.max(F.when(F.col("operation").isin("INSERT", "DELETE"), resets)).over(last)).filter(F.col("_reset").isNull() | (resets >= F.col("_reset")))
-    events = F.array_sort(F.collect_list(F.struct("changed_at", "id", "operation", "new_values")))
-
-    def step(state: Column, e: Column) -> Column:
-        new = F.from_json(e["new_values"], FIELDS)
-        new = F.coalesce(new, F.create_map().cast(FIELDS))
-        kept = F.map_filter(F.coalesce(state, F.create_map().cast(FIELDS)), lambda k, _: ~F.map_contains_key(new, k))
-        return F.when(e["operation"] == "DELETE", F.lit(None).cast(FIELDS)).when(e["operation"] == "INSERT", new).otherwise(F.map_concat(kept, new))
-
-    return rows.groupBy(*keys).agg(F.aggregate(events, F.lit(None).cast(FIELDS), step).alias("state"))
+    order, same = F.struct("changed_at", "id"), lambda a, b, on: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in on])
+    resets = F.max(F.when(F.col("operation").isin("INSERT", "DELETE"), order))
+    last = rows.groupBy(*keys).agg(resets.alias("_reset"))
+    rows = rows.alias("e").join(last.alias("r"), same("e", "r", keys)).select("e.*", "_reset").filter(F.col("_reset").isNull() | (order >= F.col("_reset")))
+    alive = rows.groupBy(*keys).agg(F.max(F.col("operation") != "DELETE").alias("_alive"))
+    fields = rows.filter(F.col("operation") != "DELETE").select(*keys, order.alias("_order"), F.explode(F.from_json("new_values", FIELDS)).alias("_field", "_value"))
+    fields = fields.groupBy(*keys, "_field").agg(F.max_by("_value", "_order").alias("_value"))
+    # An entity has as many entries here as its table has columns.
+    states = fields.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_field", "_value")))).alias("_state"))
+    both = alive.alias("a").join(states.alias("s"), same("a", "s", keys), "left")
+    return both.select(*[f"a.{k}" for k in keys], F.when(F.col("_alive"), F.coalesce("_state", F.create_map().cast(FIELDS))).alias("state"))
+
+
+def by_nearness(log: DataFrame, moment: Any) -> DataFrame:
+    """The log, entries nearest in time first; the earlier id of equals."""
+    away = F.abs(F.unix_micros(F.col("changed_at").cast("timestamp")) - F.unix_micros(F.lit(moment).cast("timestamp")))
+    return log.orderBy(away, "id")
 
 
 def nearest(log: DataFrame, moment: Any) -> Any:
-    """The entry nearest in time; the earlier id of equals."""
-    away = F.abs(F.unix_micros(F.col("changed_at").cast("timestamp")) - F.unix_micros(F.lit(moment).cast("timestamp")))
-    return log.orderBy(away, "id").first()
+    return by_nearness(log, moment).first()
 
 
 def find_entry(log: DataFrame, reference: str | int, parse: Callable[[str], Any] = datetime.fromisoformat) -> Any:

@@ -87,7 +87,7 @@ class SoftDeleteMethods:
         return deleted(self.repository.raw, self.plugin.column)
 
     def purge(self) -> writes.Change:
-        """Removes what is marked as deleted."""
-        change = writes.delete(self.repository.raw, F.col(self.plugin.column).isNotNull())
-        self.repository.session.overlay[self.repository.name] = change.after
-        return change
+        """Removes what is marked as deleted: a delete like any other, with guards and records."""
+        current = self.repository.raw
+        write = self.repository._write("delete", before=deleted(current, self.plugin.column))
+        return self.repository._run(write, lambda: writes.delete(current, F.col(self.plugin.column).isNotNull()))

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import since
 from ..operators.where import applies_to_table
 from .base import TRANSFORM, Plugin
 
@@ -40,6 +41,17 @@ def most_recent(df: DataFrame, column: str, limit: int = 10, tie_break: Sequence
     return df.orderBy(F.col(column).desc_nulls_last(), *tie_break).limit(limit)
 
 
+def by_timestamp(df: DataFrame, column: str = "created_at", last: str | None = None, start: Any = None, end: Any = None, direction: str = "desc", limit: int = 100, now: datetime | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
+    """Rows of a range of time, both ends included: of the last 24h, 7d, 2w or 1m, or from start to end."""
+    if last is not None:
+        end = now or datetime.now(timezone.utc).replace(tzinfo=None)
+        start = since(last, end, run_over=True)
+    df = df.filter(F.col(column) >= F.lit(start)) if start is not None else df
+    df = df.filter(F.col(column) <= F.lit(end)) if end is not None else df
+    order = F.col(column).desc_nulls_last() if direction == "desc" else F.col(column).asc_nulls_last()
+    return df.orderBy(order, *tie_break).limit(limit)
+
+
 class Timestamps(Plugin):
     name, priority = "timestamps", TRANSFORM
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
 from collections.abc import Callable, Collection
 from datetime import datetime, timezone
 from typing import Any
@@ -10,17 +12,23 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "ts timestamp_ntz, table string, operation string, decision string, user_id string, policy string"
+from .. import context as auth
+
+SCHEMA = "ts timestamp_ntz, table string, operation string, decision string, user_id string, policy string, context string"
 # Decisions and operations that statistics always show.
 DECISIONS, OPERATIONS = ("allow", "deny", "filter"), ("read", "create", "update", "delete")
 
 
 class DecisionLog:
-    """Keeps up to `buffer` events, then hands them to the sink as one DataFrame."""
+    """Keeps up to `buffer` events, or those of `interval` seconds, then hands them to the sink as one DataFrame.
+
+    include names fields of the user's context that are noted as JSON, exclude those that never are.
+    """
 
-    def __init__(self, spark: SparkSession, sink: Callable[[DataFrame], None] | None = None, keep: Collection[str] = ("deny",), rate: float = 1.0, buffer: int = 100, tables: dict[str, Collection[str]] | None = None, clock: Callable[[], datetime] | None = None, seed: int = 0):
+    def __init__(self, spark: SparkSession, sink: Callable[[DataFrame], None] | None = None, keep: Collection[str] = ("deny",), rate: float = 1.0, buffer: int = 100, tables: dict[str, Collection[str]] | None = None, clock: Callable[[], datetime] | None = None, seed: int = 0, interval: float | None = None, include: Collection[str] = (), exclude: Collection[str] = ()):
         self.spark, self.sink, self.keep, self.rate, self.buffer, self.tables = spark, sink, keep, rate, buffer, tables or {}
         self.clock = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+        self.interval, self.fields, self.flushed = interval, [f for f in include if f not in exclude], time.monotonic()
         self.waiting: list[tuple[Any, ...]] = []
         self.kept: list[tuple[Any, ...]] = []
         self._random = random.Random(seed)
@@ -28,8 +36,10 @@ class DecisionLog:
     def __call__(self, event: dict[str, Any]) -> None:
         if event["decision"] not in self.tables.get(event["table"], self.keep) or self._random.random() >= self.rate:
             return
-        self.waiting.append((self.clock(), event["table"], event["operation"], event["decision"], event.get("user_id"), event.get("policy")))
-        if len(self.waiting) >= self.buffer:
+        context = auth.current()
+        noted = {f: getattr(context, f) for f in self.fields if hasattr(context, f)} if context else {}
+        self.waiting.append((self.clock(), event["table"], event["operation"], event["decision"], event.get("user_id"), event.get("policy"), json.dumps(noted, default=str) if noted else None))
+        if len(self.waiting) >= self.buffer or (self.interval is not None and time.monotonic() - self.flushed >= self.interval):
             self.flush()
 
     def frame(self) -> DataFrame:
@@ -40,7 +50,7 @@ class DecisionLog:
             self.sink(self.spark.createDataFrame(self.waiting, SCHEMA))
         elif self.waiting:
             self.kept = [*self.kept, *self.waiting][-10_000:]
-        self.waiting = []
+        self.waiting, self.flushed = [], time.monotonic()
 
     close = flush
 

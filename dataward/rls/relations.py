@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import context as auth
-from ..errors import PolicySchemaError
+from ..errors import ContextMissingError, PolicySchemaError
 from ..plugins.base import SECURITY, Plugin, QueryContext
 from .policy import match
 
@@ -40,6 +40,9 @@ class Path:
     def __post_init__(self) -> None:
         if not self.steps:
             raise PolicySchemaError(f"{self.name}: a path needs a step")
+        for s in self.steps:
+            if not s.to or s.how not in ("inner", "left", "right", "full"):
+                raise PolicySchemaError(f"{self.name}: a step needs a table and a kind of join")
         for a, b in zip(self.steps, self.steps[1:], strict=False):
             if b.from_ and b.from_ != a.to:
                 raise PolicySchemaError(f"{self.name}: {b.from_} does not follow {a.to}")
@@ -99,17 +102,24 @@ def deny_relation(path: Path, end: Any) -> RelationPolicy:
 
 
 class RelationSecurity(Plugin):
-    """All relation policies of a table must hold; system contexts and calls without one are not filtered."""
+    """All relation policies of a table must hold; only system contexts are not filtered.
+
+    Without a context a table with policies can't be read or, with require_context off, shows nothing.
+    """
 
     name, priority = "rebac", SECURITY - 1
 
-    def __init__(self, policies: Mapping[str, Sequence[RelationPolicy]]):
-        self.policies = policies
+    def __init__(self, policies: Mapping[str, Sequence[RelationPolicy]], require_context: bool = True):
+        self.policies, self.require_context = policies, require_context
 
     def intercept(self, df: DataFrame, query: QueryContext, session: Any) -> DataFrame:
         context = auth.current()
-        if context is None or context.is_system:
+        if not self.policies.get(query.table) or (context is not None and context.is_system):
             return df
+        if context is None:
+            if self.require_context:
+                raise ContextMissingError(f"{query.table}: no auth context")
+            return df.filter(F.lit(False))
 
         class Tables(dict):
             def __missing__(self, name: str) -> DataFrame:

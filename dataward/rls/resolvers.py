@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor, wait
+from contextvars import copy_context
 from dataclasses import dataclass, replace
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
@@ -55,7 +56,7 @@ class Resolvers:
         found: dict[str, Any] = {}
         for level in self.levels:
             pool = ThreadPoolExecutor(max(1, len(level)))
-            jobs = {n: pool.submit(self._one, n, context, dict(found)) for n in level}
+            jobs = {n: pool.submit(copy_context().run, self._one, n, context, dict(found)) for n in level}
             for name, job in jobs.items():
                 wait([job], self.resolvers[name].timeout)
                 try:

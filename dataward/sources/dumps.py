@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BadRequestError
+from ..functions.text import quoted
 
 DUMP_VERSION = "1.0"
 
@@ -43,7 +44,7 @@ def restore_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def restore_document(spark: SparkSession, path: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
     """Tables of one JSON document {"tables": {name: {"data": [rows]}}}."""
-    inner = ", ".join(f"`{n}`: struct<data: array<struct<{s}>>>" for n, s in schemas.items())
+    inner = ", ".join(f"{quoted(n)}: struct<data: array<struct<{s}>>>" for n, s in schemas.items())
     doc = spark.read.schema(f"tables struct<{inner}>").option("multiLine", True).json(path)
     return {n: doc.select(F.explode(f"tables.{n}.data").alias("r")).select("r.*") for n in schemas}
 
@@ -60,14 +61,24 @@ def sql_literal(c: Column, kind: T.DataType) -> Column:
 
 def insert_statements(df: DataFrame, table: str) -> DataFrame:
     """statement: one INSERT for each row."""
-    values = F.concat_ws(", ", *[sql_literal(F.col(f.name), f.dataType) for f in df.schema.fields])
-    names = ", ".join(f"`{c}`" for c in df.columns)
-    return df.select(F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES ("), values, F.lit(");")).alias("statement"))
+    values = F.concat_ws(", ", *[sql_literal(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields])
+    names = ", ".join(map(quoted, df.columns))
+    return df.select(F.concat(F.lit(f"INSERT INTO {quoted(table)} ({names}) VALUES ("), values, F.lit(");")).alias("statement"))
 
 
 def create_statement(df: DataFrame, table: str) -> str:
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}{'' if f.nullable else ' NOT NULL'}" for f in df.schema.fields)
-    return f"CREATE TABLE `{table}` ({columns});"
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString().upper()}{'' if f.nullable else ' NOT NULL'}" for f in df.schema.fields)
+    return f"CREATE TABLE {quoted(table)} ({columns});"
+
+
+def dump_sql(tables: Mapping[str, DataFrame], path: str, drop: bool = False, schema_only: bool = False, data_only: bool = False) -> None:
+    """A folder for each table with its statements in order of file: DROP (if asked for), CREATE, and the INSERTs."""
+    for name, df in tables.items():
+        head = [f"DROP TABLE IF EXISTS {quoted(name)};"] * drop + [create_statement(df, name)] * (not data_only)
+        if head:
+            df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/0_schema")
+        if not schema_only:
+            insert_statements(df, name).select(F.col("statement").alias("value")).write.mode("overwrite").text(f"{path}/{name}/1_data")
 
 
 def split_statements(script: str) -> Iterator[str]:

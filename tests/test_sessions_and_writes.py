@@ -146,7 +146,7 @@ def test_audit_trail(spark, make, rows):
 
 def test_state_fold(spark):
     entries = [(1, "INSERT", '{"a": "1"}'), (2, "UPDATE", '{"b": "2"}'), (3, "UPDATE", '{"a": null}'), (4, "DELETE", None), (5, "UPDATE", '{"c": "3"}'), (6, "UPDATE", "no json")]
-    log = spark.createDataFrame([("t", "1", o, None, n, None, datetime(2024, 1, i), i) for i, o, n in entries], audit.LOG_SCHEMA + ", id long")
+    log = spark.createDataFrame([(i, "t", "1", o, None, n, None, datetime(2024, 1, i), None) for i, o, n in entries], audit.LOG_SCHEMA)
     state = lambda day: audit.state_at(log, datetime(2024, 1, day)).first()["state"]
     assert state(2) == {"a": "1", "b": "2"} and state(3) == {"b": "2", "a": None} and state(4) is None and state(5) == {"c": "3"} and state(6) == {"c": "3"}
     assert audit.find_entry(log, "3")["id"] == 3 and audit.find_entry(log, "2024-01-02T10:00:00")["id"] == 2
@@ -306,3 +306,196 @@ def test_write_functions(spark, rows):
     assert sorted(r["id"] for r in got) == [101, 102, 103]
     with pytest.raises(writes.ForeignKeyError):
         writes.check_foreign_key(rows, "owner_id", spark.range(2), "id")
+
+
+# Ways around the guards
+
+
+def _own(s):
+    rules = {"items": TablePolicies((*tenant_isolation(), allow("all", lambda c: F.col("tenant_id") == c.tenant_id), deny("delete", lambda c: F.col("status") == "kept")))}
+    return s.with_plugins(RowSecurity(rules))
+
+
+def test_upsert_is_judged_by_what_the_row_becomes(make):
+    s = _own(make())
+    r = s.repository("items")
+    with run_as(AuthContext("1", ("user",), tenant_id=1)):
+        with pytest.raises(PolicyViolationError):
+            r.upsert([{"id": 1, "tenant_id": 2}])
+        with pytest.raises(PolicyViolationError):
+            r.upsert([{"id": 2, "tenant_id": 1}])
+        with pytest.raises(PolicyViolationError):
+            r.upsert([{"id": 77, "tenant_id": 2, "name": "new"}])
+        r.upsert([{"id": 1, "tenant_id": 1, "name": "mine"}, {"id": 78, "tenant_id": 1, "name": "new"}])
+        with pytest.raises(NotNullError):
+            r.upsert([{"id": 79, "tenant_id": 1, "name": None}])
+    assert {x["id"]: (x["tenant_id"], x["name"]) for x in s.raw("items").filter("id in (1, 2, 77, 78, 79)").collect()} == {1: (1, "mine"), 2: (2, "n2"), 78: (1, "new")}
+
+
+def test_purge_is_a_delete(make):
+    trail = audit.Audit()
+    rules = {"items": TablePolicies((allow("delete", lambda c: F.col("tenant_id") == c.tenant_id),))}
+    s = make(SoftDelete(), RowSecurity(rules), trail)
+    r = s.repository("items")
+    with run_as(AuthContext("1", ("user",), tenant_id=1)), pytest.raises(PolicyViolationError):
+        r.soft.purge()
+    assert s.raw("items").count() == 10 and trail.entries is None
+    with run_as(AuthContext("1", ("user",), tenant_id=2)):
+        r.soft.purge()
+    assert s.raw("items").count() == 9 and [x["operation"] for x in trail.entries.collect()] == ["DELETE"]
+
+
+def test_threads_keep_the_user(make):
+    s = make(RowSecurity({"items": TablePolicies(tenant_isolation())}))
+    count = lambda session: session.table("items").count()
+    with run_as(AuthContext("1", ("user",), tenant_id=1)):
+        assert dal.parallel(a=count, b=count)(s) == {"a": 4, "b": 4}
+        found = Resolvers([Resolver("who", lambda c, f: {"who": auth.current().user_id})]).resolve(auth.current())
+        assert found.attributes["who"] == "1"
+    with pytest.raises(ContextMissingError):
+        dal.parallel(a=count)(s)
+
+
+def test_relations_need_a_context(make, rows):
+    path = relations.membership("owner", ("owners", "owner_id", "id"))
+    policy_ = relations.allow_relation(path, lambda c: {"id": c.user_id})
+    for require in (True, False):
+        s = make(relations.RelationSecurity({"items": [policy_]}, require_context=require))
+        if require:
+            with pytest.raises(ContextMissingError):
+                s.table("items")
+        else:
+            assert s.table("items").count() == 0
+        with auth.as_system():
+            assert s.table("items").count() == 10
+    with pytest.raises(PolicySchemaError):
+        relations.Path("odd", (relations.Step("a", how="sideways"),))
+
+
+def test_fields_are_guarded_in_writes(make):
+    from dataward.rls.plugin import FieldSecurity
+
+    access = fields.FieldAccess({"status": fields.owner_or_roles(["admin"], "owner_id"), "tenant_id": fields.never()})
+    r = make(FieldSecurity({"items": access})).repository("items")
+    with run_as(AuthContext(1, ("user",))):
+        assert "tenant_id" not in r.rows.columns
+        r.update(1, {"name": "x"})
+        r.update(5, {"status": "y"})
+        for write in (lambda: r.update(2, {"status": "y"}), lambda: r.upsert([{"id": 2, "status": "y"}]), lambda: r.update(1, {"tenant_id": 3}), lambda: r.create({"id": 90, "name": "z", "tenant_id": 3})):
+            with pytest.raises(PolicyViolationError):
+                write()
+    with pytest.raises(ContextMissingError):
+        r.update(1, {"name": "x"})
+    with auth.as_system():
+        r.update(1, {"tenant_id": 9})
+
+
+def test_checks_without_writing(make):
+    s = _own(make())
+    r = s.repository("items")
+    with run_as(AuthContext("1", ("user",), tenant_id=1)):
+        r.security.check_update(1, {"name": "x"})
+        r.security.check_create([{"id": 50, "tenant_id": 1, "name": "x"}])
+        r.security.check_delete(1)
+        for check in (lambda: r.security.check_update(2, {"name": "x"}), lambda: r.security.check_update(1, {"tenant_id": 2}), lambda: r.security.check_create([{"tenant_id": 2}]), lambda: r.security.check_delete(2)):
+            with pytest.raises(PolicyViolationError):
+                check()
+        assert r.security.check_read(1) and not r.security.check_read(2)
+        assert r.security.can_mutate("update", 1, {"name": "x"}) and not r.security.can_mutate("delete", 2) and r.security.can_mutate("create", values={"tenant_id": 1})
+    assert s.raw("items").filter("name = 'x'").count() == 0
+
+
+def test_stored_log_goes_on(make, spark):
+    kept = []
+    first = audit.Audit(sink=kept.append, metadata=lambda: {"request": 5})
+    r = make(first).repository("items")
+    r.update_many([1, 2, 3], {"name": "x"})
+    again = audit.Audit(sink=kept.append, log=lambda: kept[0])
+    make(again).repository("items").delete(4)
+    log = kept[0].unionByName(kept[1])
+    assert log.columns == list(audit.COLUMNS) and log.select("id").distinct().count() == 4
+    assert kept[1].first()["id"] > kept[0].agg(F.max("id")).first()[0] and kept[0].first()["metadata"] == '{"request": 5}'
+    assert [h["operation"] for h in audit.history(log, "items", 4).collect()] == ["DELETE"]
+    assert audit.find_entry(log, str(kept[1].first()["id"]))["operation"] == "DELETE"
+
+
+def test_add_or_insert(make):
+    s = make()
+    got = s.repository("items").add_or_insert([{"id": 1, "owner_id": 5, "name": "no"}, {"id": 1, "owner_id": 2, "name": "no"}, {"id": 40, "owner_id": 3, "name": "new"}], ["owner_id"])
+    assert {(r["id"], r["owner_id"], r["name"]) for r in got.collect()} == {(1, 8, "n1"), (40, 3, "new")} and s.raw("items").count() == 11
+
+
+def test_store_commits_schemas_and_locks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit({"a": spark.range(3), "b": spark.range(2)})
+    with pytest.raises(ConflictError):
+        store.commit({"a": spark.range(9)}, base=0)
+    assert store.version() == 1 and store.read("a").count() == 3
+    assert [tuple(r)[:2] for r in store.statistics().orderBy("table_name").collect()] == [("a", 3), ("b", 2)] and tuple(store.info().first())[:2] == (2, 5)
+    store.create_schema("tenant_1").commit({"x": spark.range(1)})
+    assert store.schema_names() == ["tenant_1"] and store.schema("tenant_1").tables() == ["x"]
+    for wrong in (lambda: store.create_schema("tenant_1"), lambda: store.drop_schema("tenant_1")):
+        with pytest.raises(ConflictError):
+            wrong()
+    with pytest.raises(BadRequestError):
+        store.create_schema("../x")
+    store.drop_schema("tenant_1", cascade=True)
+    with pytest.raises(NotFoundError):
+        store.schema("tenant_1")
+    with store.lock(), pytest.raises(ConflictError), store.lock():
+        pass
+    with store.lock():
+        pass
+    runner = Runner(store, [Migration("1", lambda st: st.commit({"c": spark.range(1)}))])
+    assert runner.locked_up() == ["1"] and store.exists("c")
+
+
+def test_identifiers_and_dumps(spark, tmp_path):
+    from dataward.functions import text
+
+    assert text.quoted("a`b") == "`a``b`" and text.qualified("s", None, "t") == "`s`.`t`"
+    for bad in ("", "1a", "a-b", "x" * 129, "a\n"):
+        with pytest.raises(BadRequestError):
+            text.check_identifier(bad)
+    odd = spark.createDataFrame([(1, "x")], "`a``b` int, c string")
+    assert dumps.create_statement(odd, "t`t").startswith("CREATE TABLE `t``t` (`a``b` INT") and "`a``b`" in dumps.insert_statements(odd, "t").first()[0]
+    dumps.dump_sql({"t": odd}, str(tmp_path / "d"), drop=True)
+    lines = [r["value"] for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "d")).collect()]
+    assert sum(x.startswith(("DROP", "CREATE", "INSERT")) for x in lines) == 3
+    row = spark.createDataFrame([("SELECT a FROM t WHERE x IN (SELECT y FROM u) ORDER BY z",)], "q string")
+    got = row.select(text.formatted_sql(F.col("q")).alias("f"), text.pretty_sql(F.col("q")).alias("p"), text.minified_sql(F.lit(" a ,b\n( c )  d ")).alias("m")).first()
+    assert got["f"] == "SELECT a\nFROM t\nWHERE x IN (SELECT y\nFROM u)\nORDER BY z" and got["m"] == "a, b (c) d"
+    assert got["p"] == "SELECT a\nFROM t\nWHERE x IN (\n  SELECT y\nFROM u\n)\nORDER BY z"
+
+
+def test_validation_modes(spark, monkeypatch):
+    from dataward.plans import validation
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    for environment, variable, want in (("development", None, True), ("production", None, False), ("development", "never", False), (None, "always", True)):
+        for name, value in ((validation.ENVIRONMENT, environment), (validation.VARIABLE, variable)):
+            monkeypatch.setenv(name, value) if value else monkeypatch.delenv(name, raising=False)
+        assert validation.should_validate() is want
+    with pytest.raises(NotNullError):
+        validation.validated(df, ["name"], chosen="always")
+    good, bad = validation.valid_rows(df, ["name"], {"small": F.col("id") < 5})
+    assert good.count() == 1 and bad.first()["violations"] == ["required:name"]
+    with pytest.raises(BadRequestError):
+        validation.should_validate("sometimes")
+
+
+def test_decisions_note_the_context(spark):
+    from dataward.rls.decisions import DecisionLog
+
+    seen = []
+    log = DecisionLog(spark, seen.append, interval=0.0, include=("tenant_id", "roles"), exclude=("roles",))
+    with run_as(AuthContext("1", ("user",), tenant_id=4)):
+        log({"table": "t", "operation": "read", "decision": "deny"})
+    assert seen[0].first()["context"] == '{"tenant_id": 4}' and not log.waiting
+
+
+def test_months_run_over():
+    from dataward.functions.stats import since
+
+    assert since("1m", datetime(2024, 3, 31), True) == datetime(2024, 3, 2) and since("1m", datetime(2024, 3, 31)) == datetime(2024, 2, 29)
+    assert since("13m", datetime(2024, 3, 1)) == datetime(2023, 2, 1) == since("13m", datetime(2024, 3, 1), True)
