@@ -117,6 +117,26 @@ def test_mix_repeats_rows(odd_docs):
     assert got == {d: n for d, n in whole.items() if n}
 
 
+
+def test_mix_repeats_rows_one_by_one(spark, odd_docs):
+    """Copies by row, not by doc_id: the repeats take what the plain mix takes, in all columns."""
+    df = odd_docs.unionByName(odd_docs.where("doc_id < 5")).withColumns({"copies": F.lit("c"), "_mixed_id": F.lit(1), "key": F.lit(2), "hash": F.lit(3), "salt": F.lit(4), "nth": F.lit(5)})
+    got, want = mixing.repeated(df), mixing.mixed(df)
+    assert got.columns == df.columns and got.count() == want.agg(F.sum("copies")).first()[0]
+    by_id = lambda rows: {r["doc_id"]: r["n"] for r in rows.collect() if r["n"]}
+    assert by_id(got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))) == by_id(want.groupBy("doc_id").agg(F.sum("copies").alias("n")))
+
+
+def test_targets_across_parts(spark):
+    """Thousands of sources, numbered and filled up range by range."""
+    rng = random.Random(4)
+    sizes = {f"s{i:05d}": rng.choice((0, 1, 5, 100, 10_000)) for i in range(3000)} | {None: 777}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+    want = brute.targets(sizes)
+    assert len(got) == len(want) and all(got[s] == pytest.approx(float(want[s]), rel=1e-9) for s in want)
+
+
 # 3
 
 
@@ -152,6 +172,31 @@ def test_tree_locates_edits(spark):
     assert row["x"]["sections"][0]["hash"] == row["y"]["sections"][0]["hash"] and row["x"]["root"] != row["y"]["root"]
 
 
+
+def test_next_with_hot_ids(spark, monkeypatch):
+    """A third of the rows without an id and a third with the same one spread over ranges, and every row has one next."""
+    monkeypatch.setattr(merkle, "RANGE", 10)
+    rng = random.Random(7)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"t{rng.randrange(10**6)}", None, None, None) for i in range(600)] + [(50, "same", None, None, None)] * 5
+    got = merkle.with_next(spark.createDataFrame(rows, DOCS).select("doc_id", "text"), ["doc_id", "text"]).collect()
+    assert len(got) == len(rows)
+    assert sorted((repr(r["next_doc_id"]), r["next_text"]) for r in got) == sorted((repr(d), t) for d, t, *_ in rows)
+    key = lambda d: -(2**63) if d is None else d
+    assert sum(key(r["next_doc_id"]) > key(r["doc_id"]) for r in got) == 1
+    ids = sorted({d for d, *_ in rows if d is not None}, reverse=True)
+    follows = {a: b for a, b in zip(ids, [*ids[1:], None], strict=True)}
+    assert all(r["next_doc_id"] in (r["doc_id"], follows[r["doc_id"]]) for r in got if r["doc_id"] is not None)
+
+
+def test_links_of_large_corpora_keep_salts(spark, monkeypatch):
+    """More salts change which repeats are taken, not how many words."""
+    texts = some_texts(200, 15)
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 4}", 0) for i, t in enumerate(texts)], DOCS)
+    before = mixing.mixed(df).groupBy("source").agg(F.sum("taken").alias("t")).collect()
+    monkeypatch.setattr(mixing, "SALTED", 2)
+    assert sorted(map(tuple, before)) == sorted(map(tuple, mixing.mixed(df).groupBy("source").agg(F.sum("taken").alias("t")).collect()))
+
+
 # 4
 
 
