@@ -148,11 +148,12 @@ def salted(salts: int) -> Column:
 
 def assigned(rows: DataFrame, plan: DataFrame, salts: int, order: list[str]) -> DataFrame:
     """rows (doc_id, source, size and more) with source_size, target and copies; repeated rows count one by one."""
-    rows = rows.withColumn("salt", salted(salts))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(*order)) - 1)
-    joined = ranked.alias("r").join(plan.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.size") == F.col("b.size")) & (F.col("r.salt") == F.col("b.salt")))
+    # Ranks and join share their keys, none of them null, so that rows are shuffled once.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key")
+    ranked = rows.select("*", key, salted(salts).alias("salt")).withColumn("nth", F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(*order)) - 1)
+    joined = ranked.join(plan.select(key, "size", "salt", "before", "base", "extra", "source_size", "target"), ["key", "size", "salt"])
     n_copies = F.col("base") + F.when(F.col("nth") + F.col("before") < F.col("extra"), 1).otherwise(0)
-    return joined.select(*[F.col(f"r.{c}") for c in rows.columns if c != "salt"], "source_size", "target", n_copies.alias("copies"))
+    return joined.select(*rows.columns, "source_size", "target", n_copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
