@@ -48,7 +48,7 @@ def test_stages_with_nulls_repeats_and_clashing_names(spark, tmp_path):
     texts = some_texts(60, 21)
     extra = (0.5, 1, "s", "r", "p", 3, "l")
     rows = [(i, t, "en" if i % 3 else None, f"s{i % 3}" if i % 5 else None, len(t), *extra) for i, t in enumerate(texts)]
-    rows += [(100, None, None, "s1", None, *extra), (101, "", None, None, 0, *extra), (None, texts[0], "en", "s1", 9, *extra), (None, None, None, None, None, *[None] * 7)]
+    rows += [(100, None, None, "s1", None, *extra), (101, "", None, None, 0, *extra), (None, texts[0], None, "s1", 9, *extra), (None, None, None, None, None, *[None] * 7)]
     rows += [(102, "word mail a@b.co " * 60_000, "xx", "s2", 5, *extra), rows[3], rows[3], (104, texts[4], "en", "s1", 3, *extra)]
     spark.createDataFrame(rows, ODD).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1, 0) for i in range(50)] + [(51, None, None), (None, 1, 0), (3, 1, 1)]
