@@ -2,11 +2,11 @@
 
 The terms of a query are its components. In a shard of vectors each term has a score bound, its greatest
 contribution there, and a posting: the component of every vector (vectors are dense, so a posting holds
-the whole shard). Terms go by falling width of their contributions. The first ones are essential: their
-postings are traversed in full. The vectors best so far are then completed, which gives the k-th best
-score a close lower bound. The other terms are non-essential: they are probed in turn, and only for
-vectors that still compete, that is, whose score so far reaches the k-th best one together with what is
-left of the bounds, or of the norms of query and vector.
+the whole shard). Terms go by falling width of their contributions. The first ones, as many as hold all but
+a small part of the query's norm, are essential: their postings are traversed in full. The vectors best so
+far are then completed, which gives the k-th best score a close lower bound. The other terms are
+non-essential: they are probed only for vectors that still compete, that is, whose score so far reaches
+the k-th best one together with what is left of the bounds, and of the norms of query and vector.
 
 Work is dealt out as (shard of vectors, block of queries) pairs, each of bounded size, and the pairs'
 best k are merged by query.
@@ -20,6 +20,8 @@ is an error; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,8 +32,10 @@ from .common import shuffle_partitions, written
 K, EVERY = 20, 20
 #: Most vectors and queries of a pair, and the fewest vectors that are worth one of their own.
 SHARD, BLOCK, LEAST = 16384, 4096, 1024
-#: Essential terms, and terms probed at a time.
-ESSENTIAL, PROBE = 16, 4
+#: The fewest essential terms, and how much of a query's norm the others hold at most.
+ESSENTIAL, REST = 16, 0.25
+#: Queries whose bounds are found together.
+GROUP = 64
 #: Below this, products and sums are exact in double precision; beyond it, Python's integers are used.
 EXACT = 2**53
 
@@ -59,44 +63,54 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 class Shard:
-    """A shard's postings, one row for each component, with bounds and norms."""
+    """A shard's postings, one row for each component, with bounds and squares."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors, self.postings = ids, vectors, np.ascontiguousarray(vectors.T)
-        self.low, self.high, self.squares = vectors.min(axis=0), vectors.max(axis=0), (vectors * vectors).sum(axis=1)
+        self.low, self.high, self.squares = vectors.min(axis=0), vectors.max(axis=0), (self.postings**2).astype(np.float32)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best for the query, and how many products they took."""
-        a, b = query * self.low, query * self.high
-        order, bound = np.argsort(-np.abs(a - b), kind="stable"), np.maximum(a, b)
-        rest = lambda x: np.append(np.cumsum(x[order][::-1])[::-1], 0.0)  # noqa: E731  of the terms from each place on
-        bounds, norms = rest(bound), np.sqrt(rest(query * query))
-        n = min(ESSENTIAL, len(order))
+        return next(self.tops(np.array([query_id]), query[None], k))
+
+    def tops(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """The k best for each query, and how many products they took."""
+        width = queries.shape[1]
+        for start in range(0, len(queries), GROUP):
+            group = queries[start : start + GROUP]
+            order = np.argsort(-np.abs(group) * (self.high - self.low), axis=1, kind="stable")
+            # Of the terms from each place on: the greatest contribution, and the query's squares.
+            rest = lambda x: np.pad(np.cumsum(np.take_along_axis(x, order, 1)[:, ::-1], axis=1)[:, ::-1], ((0, 0), (0, 1)))  # noqa: B023, E731
+            bounds, squares = rest(np.maximum(group * self.low, group * self.high)), rest(group * group)
+            essential = np.maximum((squares > REST**2 * squares[:, :1]).sum(axis=1), min(ESSENTIAL, width))
+            others = np.zeros(group.shape, np.float32)
+            np.put_along_axis(others, order, (np.arange(width) >= essential[:, None]).astype(np.float32), 1)
+            # By norms, what the other terms can add to each vector; single precision, with room for its errors.
+            left = np.sqrt(others @ self.squares)
+            left *= (np.sqrt(np.take_along_axis(squares, essential[:, None], 1)) * (1 + 1e-4)).astype(np.float32)
+            for i, n in enumerate(essential.tolist()):
+                yield self._best(query_ids[start + i], group[i], order[i], n, bounds[i, n], left[i], k)
+
+    def _best(self, query_id: int, query: np.ndarray, order: np.ndarray, n: int, bound: float, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         part = query[order[:n]] @ self.postings[order[:n]]
-        seen = (self.postings[order[:n]] ** 2).sum(axis=0)
-        others = self.ids != query_id
-        done = n * len(part)
-        least = -np.inf
-        if n < len(order) and k < len(part):
-            ahead = np.argpartition(-np.where(others, part, -np.inf), min(2 * k, len(part) - 1))[: 2 * k]
-            ahead = ahead[others[ahead]]
-            whole = part[ahead] + self.vectors[np.ix_(ahead, order[n:])] @ query[order[n:]]
-            done += len(ahead) * (len(order) - n)
-            least = np.sort(whole)[-k] if len(whole) >= k else least
-        alive = np.flatnonzero(others)
-        part, seen = part[alive], seen[alive]
-        while True:
-            left = np.minimum(bounds[n], norms[n] * np.sqrt(np.maximum(self.squares[alive] - seen, 0.0)) * (1 + 1e-9))
-            keep = part + left >= least - 0.5  # scores are whole numbers
-            alive, part, seen = alive[keep], part[keep], seen[keep]
-            if n >= len(order) or not len(alive):
-                break
-            probe = order[n : n + PROBE]
-            own = self.vectors[np.ix_(alive, probe)]
-            part, seen = part + own @ query[probe], seen + (own * own).sum(axis=1)
-            done += own.size
-            n += len(probe)
-        return *best(self.ids[alive], part, k), done
+        part[self.ids == query_id] = -np.inf
+        done, more = n * len(part), len(order) - n
+        if not more or k >= len(part):
+            alive = np.flatnonzero(part > -np.inf)
+        else:
+            ahead = np.argpartition(part, max(len(part) - 2 * k, 0))[-2 * k :]
+            ahead = ahead[part[ahead] > -np.inf]
+            whole = self.vectors[ahead] @ query
+            done += len(ahead) * more
+            least = np.partition(whole, -k)[-k] - 0.5 if len(whole) >= k else -np.inf  # scores are whole numbers
+            alive = np.flatnonzero((part + left >= least) & (part + bound >= least) & (part > -np.inf))
+        scores = part[alive]
+        if more:
+            probe = order[n:]
+            others = np.zeros_like(query)
+            others[probe] = query[probe]
+            scores = scores + self.vectors[alive] @ others
+            done += len(alive) * more
+        return *best(self.ids[alive], scores, k), done
 
 
 class LargeShard:
@@ -110,6 +124,9 @@ class LargeShard:
         found = sorted((-s, i) for s, i in zip(scores.tolist(), self.ids.tolist(), strict=True) if i != query_id)[:k]
         return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64), scores.size * len(query)
 
+    def tops(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        return (self.top(i, q, k) for i, q in zip(query_ids.tolist(), queries, strict=True))
+
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best; queries are the rows whose vec_id `every` divides."""
@@ -127,8 +144,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = 64) -
         if left.num_rows and right.num_rows:
             ids, rows, queries_ = left.column("vec_id").to_numpy(), matrix(left, width), matrix(right, width)
             shard = Shard(ids, rows.astype(np.float64)) if exact else LargeShard(ids, rows)
-            for query_id, query in zip(right.column("vec_id").to_pylist(), queries_.astype(np.float64) if exact else queries_, strict=True):
-                got, scores, _ = shard.top(query_id, query, k)
+            query_ids = right.column("vec_id").to_numpy()
+            for query_id, (got, scores, _) in zip(query_ids.tolist(), shard.tops(query_ids, queries_.astype(np.float64) if exact else queries_, k), strict=True):
                 found.append((np.full(len(got), query_id), got, scores.astype(np.int64)))
         columns = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
