@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import lm, maxscore, merkle, mixing, neardup, packing, pii, quality, urls, wordpiece
 from .common import table
@@ -50,7 +51,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_source_mix, op3_merkle_fingerprints, op4_lm_scores, op5_token_counts, op6_maxscore, op7_near_duplicates, op8_pii, op9_quality, op10_packing)}
+# What SQL can say of operators whose other columns it can't.
+
+
+def rules_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules of op1, and verdicts where a rule gives them."""
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def targets_of_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op2."""
+    return op2_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def hashes_of_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and hashes of op3's edited texts."""
+    return op3_merkle_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def counts_of_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of op8's base spans."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_source_mix, op3_merkle_fingerprints, op4_lm_scores, op5_token_counts, op6_maxscore, op7_near_duplicates, op8_pii, op9_quality, op10_packing, rules_of_urls, targets_of_mix, hashes_of_edits, counts_of_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_near_duplicates": r"""
@@ -79,4 +103,43 @@ ORACLE_SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "rules_of_urls": """
+        WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        ruled AS (
+            SELECT *, CASE
+                WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+        SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled
+    """,
+    # The level up to which sources fill is the greatest that any first few full sources leave for the rest.
+    "targets_of_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+        o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS nth FROM s),
+        l AS (SELECT max(((SELECT sum(source_size) FROM s) - 3 * before) / after) AS level FROM (
+            SELECT coalesce(sum(source_size) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM o))
+        SELECT doc_id, size, source_size, round(least(3.0 * source_size, weight * level)::DOUBLE, 3) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l
+    """,
+    "hashes_of_edits": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS following FROM d WINDOW w AS (ORDER BY doc_id DESC))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substr(t, 1, n - n // 3) || substr(following, 1, n // 3)) AS edited_sha256 FROM n
+    """,
+    "counts_of_pii": r"""
+        WITH f AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+                regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+                list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS cards,
+                list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones
+            FROM documents)
+        SELECT doc_id, len(emails) AS n_email,
+            len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 999) > 255)) = 0)) AS n_ip,
+            len(list_filter(cards, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1),
+                lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(x, i, 1) AS INTEGER) ELSE CAST(substr(x, i, 1) AS INTEGER) * 2 - CASE WHEN substr(x, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0)) AS n_card,
+            len(list_filter(phones, lambda n: n BETWEEN 9 AND 15)) AS n_phone
+        FROM f
+    """,
 }
