@@ -425,6 +425,21 @@ def test_add_or_insert(make):
     assert {(r["id"], r["owner_id"], r["name"]) for r in got.collect()} == {(1, 8, "n1"), (40, 3, "new")} and s.raw("items").count() == 11
 
 
+def test_upserts_of_upserts_can_be_joined(spark, tmp_path):
+    """Whatever Spark makes of the joins at run time, and however many parts the batches have."""
+    spark.createDataFrame([(i, i % 5, 0.0) for i in range(2000)], "id long, tenant int, x double").write.parquet(str(tmp_path / "t"))
+    got, rows = spark.read.parquet(str(tmp_path / "t")), []
+    for k in range(3):
+        rows.append((k * 1500, 3, float(k)))
+        got = writes.upsert(got, spark.createDataFrame(spark.sparkContext.parallelize(rows[-1:], 8), got.schema), ["id"]).after
+    batch = spark.createDataFrame(spark.sparkContext.parallelize([(0, 3, 9.0), (1, None, 1.0), (7000, 1, 2.0)], 8), got.schema)
+    known = got.join(batch.select("id"), "id", "left_semi")
+    assert sorted(r["id"] for r in batch.join(known.select("id"), "id", "left_anti").collect()) == [7000]
+    change = writes.upsert(got, batch, ["id"], ["x"])
+    assert sorted(map(tuple, change.affected.collect())) == [(0, 3, 9.0), (1, 1, 1.0), (7000, 1, 2.0)]
+    assert change.after.count() == 2002 and change.after.where("x > 0").count() == 5
+
+
 def test_store_commits_schemas_and_locks(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.commit({"a": spark.range(3), "b": spark.range(2)})
