@@ -51,3 +51,14 @@ def test_entry_works_without_the_optional_package(monkeypatch):
 
     monkeypatch.setattr(entry, "_corpus", lambda: None)
     assert set(entry.queries()) >= set(queries.QUERIES) and "pipeline" not in entry.queries()
+
+
+def test_add_or_insert_where_numbers_are_taken(spark, tmp_path):
+    """As on tables of more than 1,000,000 parts."""
+    part = spark.read.parquet(str(DIR / "part.parquet"))
+    more = part.withColumn("p_partkey", (part.p_partkey + 1000000).cast(dict(part.dtypes)["p_partkey"]))
+    part.unionByName(more).write.parquet(str(tmp_path / "part.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = connection.sql(queries.ORACLE_SQL["add_or_insert_state"]).df()
+    pd.testing.assert_frame_equal(normal(queries.QUERIES["add_or_insert_state"](spark, str(tmp_path)).toPandas()), normal(want))
