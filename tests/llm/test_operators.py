@@ -633,6 +633,14 @@ def test_quality_samples_each_language(spark):
     assert quality.judged(docs, labels, sample=5).where("perplexity IS NULL").count() == 0
 
 
+def test_quality_learns_from_all_trusted_documents(spark):
+    """Each of more than 20,000 documents has a character of its own, and the model knows them all."""
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i), "zh", None, 0) for i in range(20_900)], DOCS)
+    labels = spark.range(20_900).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    chars, _, rest, _ = quality.fitted(docs, labels).value[1]["zh"][-2]
+    assert {*chars.tolist(), *rest.tolist()} == {0x4E00 + i for i in range(20_900)}
+
+
 def test_quality_tells_scripts_apart_beside_a_latin_majority(spark):
     rng = random.Random(10)
     scripts = {"latin": [chr(c) for c in range(0x100, 0x17D)], "ru": [chr(c) for c in range(0x430, 0x450)], "zh": [chr(c) for c in range(0x4E00, 0x4E00 + 900)]}
