@@ -10,9 +10,8 @@ class from counts, with 0.1 added to each and to one unknown word.
   hash. These weights come from distributed updates: in each round, tasks over a disjoint part of the
   training documents sum observed and expected counts of (feature, class), whose differences are the
   gradient; each weight moves along its own by the log ratio of the two.
-* Pair features are (word before, word), by hash: one for each pair seen in training, or from the least
-  power of two on with which at most PAIRS are left. Spark counts the pairs of all training documents in
-  shards. Under an L1 penalty of DISCOUNT the gradient of such a weight is zero where the pair's expected
+* Pair features are (word before, word), by hash: one for each pair seen in training. Spark counts the
+  pairs of all training documents in shards. Under an L1 penalty of DISCOUNT the gradient of such a weight is zero where the pair's expected
   count is its count less DISCOUNT; with class features held at what they expect after the word before,
   that has a closed form, from joins of the pairs with their words' counts.
 
@@ -20,9 +19,10 @@ The normaliser is exact. That of the class features is a sum over the classes. P
 word before, one number for each class: what they add to its words' shares. So no task goes through a
 vocabulary, and documents are scored in sparse numpy batches.
 
-Only the class weights (FEATURES x CLASSES numbers), at most PAIRS pair weights and at most VOCABULARY of
-the commonest words pass through the driver; they are broadcast. Words beyond that vocabulary meet their
-counts in a shuffled join.
+Only the class weights (FEATURES x CLASSES numbers), at most PAIRS pair weights, at most VOCABULARY of
+the commonest words and what all pairs after these add to each class pass through the driver; they are
+broadcast. Shuffled joins bring the rest: words beyond that vocabulary meet their counts, the other pairs
+their weights, and tokens after a word beyond it what its pairs add.
 
 Defined results: a null or empty text has one token, the end; repeated rows are scored alike, each
 counting in training; a null doc_id hashes as empty text; without training documents all
@@ -141,7 +141,7 @@ def prepared(key: str, model: dict) -> dict:
     if key not in _tables:
         _tables.clear()
         words = model["words"]
-        _tables[key] = model | {"index": pa.array(words, pa.large_string()), "class_of": np.array([i if i <= OWN else crc32(w[-2:].encode()) % SHARED + OWN + 1 for i, w in enumerate(words)], np.int64)}
+        _tables[key] = model | {"index": pa.array(words, pa.large_string()), "codes": np.sort(np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words))), "class_of": np.array([i if i <= OWN else crc32(w[-2:].encode()) % SHARED + OWN + 1 for i, w in enumerate(words)], np.int64)}
     return _tables[key]
 
 
@@ -228,10 +228,16 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, row).groupBy("shard").applyInArrow(total, "shard long, level long, size long, keys binary, counts binary")
 
 
-def pair_weights(pairs: DataFrame, counts: DataFrame, classes: DataFrame) -> tuple[Sorted, np.ndarray, Sorted, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys times SPREAD in order, their weights; words before in order, where theirs start, classes and what they add).
+#: Pairs weighed in one group, about; all after one word lie in one.
+GROUP = 300_000
 
-    counts: word, n; classes: class, in_class (what its words share), class_p.
+
+def pair_weights(pairs: DataFrame, counts: DataFrame, classes: DataFrame, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """((keys times SPREAD in order, their weights; words before in order, where theirs start, classes, what these keys and what all pairs add to them), a table with the rest).
+
+    The keys are those after words of the vocabulary, from the least power of two on with which at most
+    PAIRS are left. The table has the others' keys and weights, and what pairs add after words beyond the
+    vocabulary, as bytes. counts: word, n; classes: class, in_class (what its words share), class_p.
     """
     sizes = {r["level"]: r["size"] for r in pairs.groupBy("level").agg(F.sum("size").alias("size")).collect()}  # one row for each power of two
     least = next((x for x in range(64) if sum(n for level, n in sizes.items() if level >= x) <= PAIRS), 64)
@@ -242,39 +248,77 @@ def pair_weights(pairs: DataFrame, counts: DataFrame, classes: DataFrame) -> tup
                 k = np.frombuffer(keys, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(32)).astype(np.int64)), pa.array((k & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["u", "w", "n"])
 
-    kept = pairs.where(F.col("level") >= least).select("keys", "counts").mapInArrow(unpack, "u long, w long, n long")
+    every_pair = pairs.select("keys", "counts").mapInArrow(unpack, "u long, w long, n long")
     class_of = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", shared_class(F.col("word"))))
-    words = counts.withColumn("class", class_of).join(F.broadcast(classes), "class").select(F.crc32(F.encode("word", "utf-8")).alias("w"), F.col("n").alias("n_w"), F.col("class").cast("long"), ((F.col("n") + ADDED) / F.col("in_class")).alias("share"), "class_p")
-    before = words.groupBy(F.col("w").alias("u")).agg(F.sum("n_w").alias("n_u"))
-    rows = kept.join(words.drop("n_w"), "w").join(before, "u").select("u", "w", "n", "class", "share", "class_p", "n_u")
+    words = counts.withColumn("class", class_of).join(F.broadcast(classes), "class").select(F.crc32(F.encode("word", "utf-8")).alias("w"), F.col("class").cast("byte"), ((F.col("n") + ADDED) / F.col("in_class")).alias("share"))
+    rows = every_pair.join(words, "w").select("u", "w", "n", "class", "share")
+    class_p = np.array([r["class_p"] for r in classes.orderBy("class").collect()])  # CLASSES rows
 
     def weigh(table: pa.Table) -> pa.Table:
-        """All pairs after some words: (keys, weights, words before, classes, what they add), as bytes."""
-        u, w, n, kind, share, class_p, n_u = (c.to_numpy() for c in table.columns)
-        every, one, at = np.unique(u, return_index=True, return_inverse=True)
-        n_u, cell = n_u[one].astype(np.float64), at * CLASSES + kind
-        # What class features expect after a word: the classes seen there, as far as it is common.
-        n_cell, n_kept = np.bincount(cell, n, len(every) * CLASSES), np.bincount(at, n)
-        rest = n_u - np.minimum(n_kept, n_u) + UNSURE
-        q = share * (n_cell[cell] + rest[at] * class_p) / (n_u[at] + UNSURE)
+        """All pairs after some words."""
+        u, w, n, kind, share = (c.to_numpy() for c in table.columns)
+        every, at = np.unique(u, return_inverse=True)
         # Words of one code share a pair's weight.
         keys, first, pair = np.unique(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_index=True, return_inverse=True)
-        q, own = np.bincount(pair, q), at[first]
+        own = at[first]
+        n_u, cell = np.bincount(own, n[first]), at * CLASSES + kind  # each word but the last sign is before one pair
+        # What class features expect after a word: the classes seen there, as far as it is common.
+        n_cell, n_seen = np.bincount(cell, n, len(every) * CLASSES), np.bincount(at, n)
+        rest = n_u - np.minimum(n_seen, n_u) + UNSURE
+        q = share * (n_cell[cell] + rest[at] * class_p[kind]) / (n_u[at] + UNSURE)
+        q = np.bincount(pair, q)
         p = (n[first] - DISCOUNT) / n_u[own]
         z = np.maximum(1 - np.bincount(own, q), 1e-6) / np.maximum(1 - np.bincount(own, p), 1e-3)
-        weight = np.maximum(np.log(p / q * z[own]), 0)
-        adds = np.bincount(cell, share * np.expm1(weight[pair]), len(every) * CLASSES)
+        weight = np.maximum(np.log(p / q * z[own]), 0).astype("<f4")
+        common = np.isin(every, prepared(*lookups.value)["codes"])
+        head = (n[first] >= 2.0**least) & common[own]
+        gain = share * np.expm1(weight.astype(np.float64))[pair]
+        adds, head_adds = np.bincount(cell, gain, len(every) * CLASSES), np.bincount(cell, gain * head[pair], len(every) * CLASSES)
         some, more = weight > 0, np.flatnonzero(adds)
-        out = (keys[some].tobytes(), weight[some].astype("<f4").tobytes(), every[more // CLASSES].astype("<u4").tobytes(), (more % CLASSES).astype("u1").tobytes(), adds[more].astype("<f4").tobytes())
-        return pa.table({c: pa.array([x], pa.binary()) for c, x in zip(("keys", "weights", "u", "class", "adds"), out, strict=True)})
-
-    dealt = rows.groupBy(F.pmod(F.xxhash64("u"), F.lit(shuffle_partitions(rows.sparkSession)))).applyInArrow(weigh, "keys binary, weights binary, u binary, class binary, adds binary")
-    got = dealt.collect()  # at most PAIRS pairs in all
-    keys, weight, u, kind, more = (np.frombuffer(b"".join(bytes(r[i]) for r in got), k) for i, k in enumerate(("<u8", "<f4", "<u4", "u1", "<f4")))
+        known = common[more // CLASSES]
+        out = [x for k in (some & head, some & ~head) for x in (keys[k], weight[k])]
+        out += [x for k in (more[known], more[~known]) for x in ((every[k // CLASSES]).astype("<u4"), (k % CLASSES).astype("u1"), adds[k].astype("<f4"))]
+        return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(WEIGHED, [*out, head_adds[more[known]].astype("<f4")], strict=True)})
+
+    groups = max(shuffle_partitions(rows.sparkSession), sum(sizes.values()) // GROUP)
+    dealt = rows.groupBy(F.pmod(F.xxhash64("u"), F.lit(groups))).applyInArrow(weigh, ", ".join(f"{c} binary" for c in WEIGHED))
+    dealt = written(dealt, "lm-pair-weights")
+    got = dealt.select("keys", "weights", "u", "class", "adds", "head_adds").collect()  # at most PAIRS pairs, and CLASSES numbers for each word of the vocabulary
+    keys, weight, u, kind, more, own = (np.frombuffer(b"".join(bytes(r[i]) for r in got), k) for i, k in enumerate(("<u8", "<f4", "<u4", "u1", "<f4", "<f4")))
     keys = keys * SPREAD
     order, by_u = np.argsort(keys), np.argsort(u, kind="stable")
     firsts = np.flatnonzero(np.append(True, u[by_u][1:] != u[by_u][:-1])) if len(u) else np.zeros(0, np.int64)
-    return Sorted(keys[order], 64), weight[order], Sorted(u[by_u][firsts], 32), np.append(firsts, len(u)).astype(np.int32), kind[by_u], more[by_u]
+    return (Sorted(keys[order], 64), weight[order], Sorted(u[by_u][firsts], 32), np.append(firsts, len(u)).astype(np.int32), kind[by_u], own[by_u], more[by_u]), dealt
+
+
+#: Columns of weighed pairs: those of the driver's keys, the other keys, and what is added after words of the vocabulary and after others.
+WEIGHED = ("keys", "weights", "rest_keys", "rest_weights", "u", "class", "adds", "rest_u", "rest_class", "rest_adds", "head_adds")
+
+
+def other_pairs(weighed: DataFrame) -> DataFrame:
+    """key, weight of the pairs that are not broadcast."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(weights, "<f4"))], names=["key", "weight"])
+
+    return weighed.select("rest_keys", "rest_weights").mapInArrow(unpack, "key long, weight float")
+
+
+def other_contexts(weighed: DataFrame) -> DataFrame:
+    """u, classes, adds (bytes) of the words beyond the vocabulary that pairs follow."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for us, kinds, adds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u = np.frombuffer(us, "<u4").astype(np.int64)
+                ends = np.append(np.flatnonzero(u[1:] != u[:-1]) + 1, len(u)) if len(u) else np.zeros(0, np.int64)
+                starts = np.append(0, ends[:-1]) if len(u) else ends
+                parts = [[x[k * a : k * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] for k, x in ((1, kinds), (4, adds))]
+                yield pa.RecordBatch.from_arrays([pa.array(u[starts]), *[pa.array(x, pa.binary()) for x in parts]], names=["u", "classes", "adds"])
+
+    return weighed.select("rest_u", "rest_class", "rest_adds").mapInArrow(unpack, "u long, classes binary, adds binary")
 
 
 class Sorted:
@@ -361,16 +405,22 @@ def statistics(docs: DataFrame, model, weights) -> np.ndarray:
     return out
 
 
-def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of all tokens, but for the shares of their classes."""
-    theta, (keys, boost, contexts, starts, kinds, adds) = weights
+def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray, docs: np.ndarray, rest: dict | None = None) -> np.ndarray:
+    """Natural log probabilities of all tokens, but for the shares of their classes, by the pairs that are broadcast.
+
+    With rest, they are by all pairs but for what it then says is missing: `tokens` whose pairs are not
+    broadcast, with their `keys`; `after`, tokens after words beyond the vocabulary, and their `feats`.
+    """
+    theta, (keys, boost, contexts, starts, kinds, head_adds, adds) = weights
+    adds = head_adds if rest is None else adds
     feats, pairs = features(codes, classes, docs), pair_keys(codes, docs)
-    logs = np.empty(len(codes))
+    logs, absent = np.empty(len(codes)), np.empty(len(codes), bool)
     for at in range(0, len(codes), STEP):
         (z, p), own = class_shares(feats[:, at : at + STEP], theta, use["bias"]), pairs[at : at + STEP]
         out = z[np.arange(len(z)), classes[at : at + STEP]].astype(np.float64)
         found = keys.find(own * SPREAD)
         out[found >= 0] += boost[found[found >= 0]]
+        absent[at : at + STEP] = found < 0
         # What pair features add to each class after the word before.
         seen, which = np.unique(own >> np.uint64(32), return_inverse=True)
         where = contexts.find(seen.astype(np.uint32))
@@ -379,6 +429,11 @@ def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray
         table = np.zeros((len(seen), CLASSES), np.float32)
         table[np.repeat(np.arange(len(seen)), n_adds), kinds[entries]] = adds[entries]
         logs[at : at + STEP] = out - np.log1p(np.einsum("ij,ij->i", p, table[which]))
+    if rest is not None:
+        before = (pairs >> np.uint64(32)).astype(np.int64)
+        known = use["codes"]
+        after = np.flatnonzero(known[np.minimum(np.searchsorted(known, before), len(known) - 1)] != before)
+        rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent].view(np.int64), "after": after, "u": before[after], "feats": np.ascontiguousarray(feats[:, after].T).view(np.int64)[:, 0]}
     return logs
 
 
@@ -390,6 +445,7 @@ class Model:
     in_class: np.ndarray
     lookups: Broadcast
     weights: Broadcast
+    weighed: DataFrame
 
 
 def fitted(docs: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -420,8 +476,8 @@ def fitted(docs: DataFrame, rounds: int = ROUNDS) -> Model:
 
     shares = spark.createDataFrame([(k, float(in_class[k]), float(np.exp(bias[k]))) for k in range(CLASSES)], "class int, in_class double, class_p double")
     own_words = spark.createDataFrame(list(zip(own, range(len(own)), strict=True)), "word string, own int")
-    pairs = pair_weights(written(pair_counts(train), "lm-pair-counts"), counts.join(F.broadcast(own_words), "word", "left"), shares)
-    return Model(counts, whole["n"], whole["v"], in_class, lookups, spark.sparkContext.broadcast((theta, pairs)))
+    pairs, weighed = pair_weights(written(pair_counts(train), "lm-pair-counts"), counts.join(F.broadcast(own_words), "word", "left"), shares, lookups)
+    return Model(counts, whole["n"], whole["v"], in_class, lookups, spark.sparkContext.broadcast((theta, pairs)), weighed)
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -438,20 +494,37 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             for start, n_docs in slices(batch.column("text"), SLICE):
                 some = batch.slice(start, n_docs)
                 places, classes, codes, docs_of, words_, indices = encoded(some.column("text"), use)
-                logs = token_logs(use, now, classes, codes, docs_of)
+                rest: dict = {}
+                logs = token_logs(use, now, classes, codes, docs_of, rest)
                 rare = places < 0
                 own = np.where(rare, 0.0, known_log[places])  # words beyond the vocabulary meet theirs later
                 sums = lambda x: np.bincount(docs_of, weights=x, minlength=n_docs)  # noqa: B023, E731
-                n_rare = np.bincount(docs_of[rare], minlength=n_docs)
                 rare_words = words_.take(pa.array(indices[rare])).cast(pa.string()) if rare.any() else pa.array([], pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), rare_words)
+                listed = lambda tokens, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(docs_of[tokens], minlength=n_docs))).astype(np.int32)), x)  # noqa: B023, E731
+                lists = [listed(rare, rare_words), listed(rest["tokens"], pa.array(rest["keys"])), listed(rest["after"], pa.StructArray.from_arrays([pa.array(rest["u"]), pa.array(rest["feats"])], ["u", "feats"]))]
                 known = np.bincount(docs_of[~rare], weights=(use["n"][places[~rare]] > 0), minlength=n_docs).astype(np.int64)
-                columns = [some.column("row"), some.column("doc_id"), pa.array(np.bincount(docs_of, minlength=n_docs).astype(np.int64)), pa.array(known), pa.array(sums(own - all_words)), pa.array(sums(logs / math.log(10) + own - in_class[classes])), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
+                columns = [some.column("row"), some.column("doc_id"), pa.array(np.bincount(docs_of, minlength=n_docs).astype(np.int64)), pa.array(known), pa.array(sums(own - all_words)), pa.array(sums(logs / math.log(10) + own - in_class[classes])), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare", "pairs", "after"])
 
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>")
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>, pairs array<long>, after array<struct<u long, feats long>>")
     rows = written(rows, "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).join(model.counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADDED)).alias("more"), F.count("n").alias("more_known"))
-    out = rows.drop("rare").join(rare, "row", "left")
+
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the normaliser takes off for pairs after words beyond the vocabulary."""
+        for batch in batches:
+            theta, bias = weights.value[0], prepared(*lookups.value)["bias"]
+            feats = np.ascontiguousarray(np.asarray(batch.column(1)).view(np.uint16).reshape(-1, TEMPLATES).T)
+            kinds, adds = (b"".join(batch.column(i).to_pylist()) for i in (2, 3))
+            lengths = np.asarray(pc.binary_length(batch.column(2)), np.int64)
+            at = np.repeat(np.arange(len(lengths)), lengths)
+            share = class_shares(feats, theta, bias)[1]
+            off = -np.log1p(np.bincount(at, share[at, np.frombuffer(kinds, "u1")] * np.frombuffer(adds, "<f4"), len(lengths)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(off)], names=["row", "x"])
+
+    gains = rows.select("row", F.explode("pairs").alias("key")).join(other_pairs(model.weighed), "key").select("row", F.col("weight").cast("double").alias("x"))
+    after = rows.select("row", F.explode("after").alias("a")).select("row", "a.u", "a.feats").join(other_contexts(model.weighed), "u").select("row", "feats", "classes", "adds")
+    of_pairs = gains.unionByName(after.mapInArrow(normalise, "row long, x double")).groupBy("row").agg((F.sum("x") / math.log(10)).alias("of_pairs"))
+    out = rows.drop("rare", "pairs", "after").join(rare, "row", "left").join(of_pairs, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more + F.coalesce("of_pairs", F.lit(0.0))).alias("score"))

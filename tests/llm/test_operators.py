@@ -242,6 +242,16 @@ def test_lm_word_probabilities_sum_to_one(spark, monkeypatch, pairs):
         assert p.sum() + rest.sum() == pytest.approx(1, abs=2e-3)
 
 
+def test_lm_scores_by_all_pairs_however_few_are_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.choice('abc')}{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for i in range(200)], "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
+    monkeypatch.setattr(lm, "PAIRS", 100)
+    assert {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()} == pytest.approx(want, rel=1e-5)
+    monkeypatch.setattr(lm, "VOCABULARY", 60)
+    assert {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()} == pytest.approx(want, rel=1e-5)
+
+
 def test_lm_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
