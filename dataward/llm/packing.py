@@ -14,7 +14,6 @@ result; repeated rows are packed as often as they occur; other columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +28,12 @@ SEQUENCE, END_ID = 2048, 1
 #: Salted groups of each length: at least so many, and one for so many pieces.
 SALTS, SALTED = 64, 50_000_000
 SPECIAL = "<|endoftext|>"
-#: Cached chunks of text in each Python worker; the cache is emptied when full.
-CACHE = 100_000
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-class ChunkEncoder:
-    """Ids of byte-level BPE, cached by chunk.
-
-    The vocabulary's pre-tokeniser never joins what stands before a space to the space and the
-    non-space after it. So a text whose spaces all stand singly before a non-space can be cut there,
-    and each chunk encoded on its own; other texts are encoded whole.
-    """
-
-    AWKWARD = re.compile(r" (?:\s|$)")
+class Encoder:
+    """Ids of byte-level BPE: by the ranks of the vocabulary, or where a text holds the special token by the tokenizers library."""
 
     def __init__(self, vocabulary: str):
         import base64
@@ -54,10 +44,7 @@ class ChunkEncoder:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.vocabulary, self.whole, self.first, self.rest = vocabulary, None, {}, {}
-
-    def pack(self, text: str) -> bytes:
-        return np.asarray(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
+        self.vocabulary, self.whole = vocabulary, None
 
     def special(self, text: str) -> bytes:
         if self.whole is None:
@@ -71,23 +58,12 @@ class ChunkEncoder:
         """Little-endian unsigned 32-bit ids."""
         if SPECIAL in text:
             return self.special(text)
-        if self.AWKWARD.search(text):
-            return self.pack(text)
-        head, *parts = text.split(" ")
-        found = list(map(self.rest.get, parts))
-        if None in found:
-            if len(self.rest) > CACHE:
-                self.rest.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    p = parts[i]
-                    found[i] = self.rest[p] = self.rest.get(p) or self.pack(f" {p}")
-        return self.pack(head) + b"".join(found)
-
-
-def encoder(vocabulary: str) -> ChunkEncoder:
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = ChunkEncoder(vocabulary)
+        _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
 
 
