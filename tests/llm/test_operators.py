@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -651,6 +652,32 @@ def test_quality_learns_from_all_trusted_documents(spark):
     assert {*chars.tolist(), *rest.tolist()} == {0x4E00 + i for i in range(20_900)}
 
 
+def test_quality_shuffles_little_but_trusted_texts(spark):
+    """A map of ids leaves out nearly all other texts before the join, which takes out the rest of them; no trusted one is lost."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a text").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "en", "no id"), (5, "en", "again")], "doc_id long, lang string, text string"))
+    for ids in (spark.range(0, 20_000, 7), spark.range(5, 6), spark.range(0)):
+        want = sorted(i for (i,) in ids.collect())
+        got = sorted(r["doc_id"] for r in quality.likely(docs, ids.toDF("doc_id")).collect())
+        assert set(want) <= set(got) and got.count(5) == (2 if 5 in got else 0) and len(got) <= len(want) + 1 + 0.05 * 20_000
+        labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+        trusted = quality.trusted_texts(docs, labels)
+        assert sorted(r["doc_id"] for r in trusted.collect()) == sorted(want + [5] * (5 in want))
+        plan = trusted._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftOuter") < plan.index("getbit")  # the map's join comes first
+
+
+def test_written_leaves_no_files_of_its_shuffles(spark):
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = root.getAllBlocks().size()
+    table_ = written(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count(), "cleaned")
+    assert len(table_.collect()) == 7
+    end = time.time() + 20
+    while root.getAllBlocks().size() > before and time.time() < end:
+        time.sleep(0.1)
+    assert root.getAllBlocks().size() <= before
+
+
 def test_quality_tells_scripts_apart_beside_a_latin_majority(spark):
     rng = random.Random(10)
     scripts = {"latin": [chr(c) for c in range(0x100, 0x17D)], "ru": [chr(c) for c in range(0x430, 0x450)], "zh": [chr(c) for c in range(0x4E00, 0x4E00 + 900)]}
