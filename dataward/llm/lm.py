@@ -13,7 +13,7 @@ class from counts, with 0.1 added to each and to one unknown word.
 * Pair features are (word before, word), by hash: one for each pair seen in training. Spark counts the
   pairs of all training documents in shards. Under an L1 penalty of DISCOUNT the gradient of such a weight is zero where the pair's expected
   count is its count less DISCOUNT; with class features held at what they expect after the word before,
-  that has a closed form, from joins of the pairs with their words' counts.
+  that has a closed form, from the pairs and their words' counts, which are grouped together.
 
 The normaliser is exact. That of the class features is a sum over the classes. Pair features add, for the
 word before, one number for each class: what they add to its words' shares. So no task goes through a
@@ -21,8 +21,8 @@ vocabulary, and documents are scored in sparse numpy batches.
 
 Only the class weights (FEATURES x CLASSES numbers), at most PAIRS pair weights, at most VOCABULARY of
 the commonest words and what all pairs after these add to each class pass through the driver; they are
-broadcast. Shuffled joins bring the rest: words beyond that vocabulary meet their counts, the other pairs
-their weights, and tokens after a word beyond it what its pairs add.
+broadcast. Shuffles bring the rest: words beyond that vocabulary meet their counts, the other pairs their
+weights, and tokens after a word beyond it what its pairs add. Pairs travel as packed numbers, many to a row.
 
 Defined results: a null or empty text has one token, the end; repeated rows are scored alike, each
 counting in training; a null doc_id hashes as empty text; without training documents all
@@ -45,7 +45,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_words, shuffle_partitions, text_batches, written
+from .common import arrow_words, discard, shuffle_partitions, text_batches, tidied, written
 
 VOCABULARY, OWN, CLASSES, FEATURES, TEMPLATES, ADDED = 65_536, 15, 32, 1 << 14, 4, 0.1
 PAIRS, DISCOUNT = 1 << 21, 0.75
@@ -103,12 +103,42 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def packed_numbers(column: pa.ChunkedArray) -> np.ndarray:
-    """The 32-bit numbers of all rows of packed bytes, one after another, where they lie."""
-    rows = column.combine_chunks()
-    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
-    ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
-    return np.frombuffer(rows.buffers()[2], "<u4")[ends[0] // 4 : ends[-1] // 4]
+def numbers(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The numbers of all rows of packed bytes, one after another."""
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def dealt(x: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many parts each number belongs to."""
+    return ((x.astype(np.uint64) * SPREAD >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def among(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which numbers are in codes, which are in order and not empty."""
+    x = x.astype(np.int64)
+    return codes[np.minimum(np.searchsorted(codes, x), len(codes) - 1)] == x
+
+
+def places_of(keys: np.ndarray, codes: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each pair belongs to: after a word of the vocabulary by pair, so that a common word's lie in all, else by word."""
+    u = keys >> np.uint64(32)
+    return np.where(among(u, codes), dealt(keys, parts), dealt(u, parts))
+
+
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its places in order)."""
+    order = np.argsort(part, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        yield int(part[some[0]]), some
+
+
+def packed_rows(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    """Rows with empty bytes where they say nothing."""
+    return pa.table({f.name: pa.array([r.get(f.name, b"") for r in rows], f.type) for f in schema}, schema=schema)
+
+
+def parts_of(spark) -> int:
+    return 2 * shuffle_partitions(spark)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -190,73 +220,90 @@ def pair_keys(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return before.astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64)
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """shard, level, size, keys, counts: the pairs over docs (text) seen from 2 ** level times on, below twice that.
+COUNTED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("high", "low", "n", "class", "share", "sizes"))])
+#: Weighed pairs: those of the driver's keys and what is added after words of the vocabulary, in rows of part -1; by part, the other keys, and what is added after other words.
+WEIGHED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("keys", "weights", "u", "class", "adds", "head_adds", "rest_high", "rest_low", "rest_weights", "rest_u", "rest_class", "rest_adds"))])
 
-    Tasks count the pairs of some megabytes of text at a time; keys are dealt to shards by a hash, so that
-    a common word's pairs lie in all of them.
+
+def schema_text(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
+
+
+def pair_counts(docs: DataFrame, words: DataFrame, lookups: Broadcast) -> DataFrame:
+    """Pairs over docs (text) with their counts and their second words' classes and shares, packed, by parts of the words before.
+
+    words: w, class, share. Tasks count the pairs of some megabytes of text at a time. Pairs before a word of
+    the vocabulary, whose share is broadcast, are dealt by a hash of the pair, so that a common word's lie in
+    all shards; the others are dealt by their word, and meet its share there.
     """
-    shards = 2 * shuffle_partitions(docs.sparkSession)
-    row = "shard long, high binary, low binary, n binary"
+    shards = parts_of(docs.sparkSession)
+
+    def kinds(batches: Iterator[pa.RecordBatch], common: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = batch.column(0).to_numpy()
+            some = batch.filter(pa.array(among(w, prepared(*lookups.value)["codes"]) == common))
+            yield pa.RecordBatch.from_arrays([pa.array(dealt(some.column(0).to_numpy(), shards)), *some.columns], names=["shard", "w", "class", "share"])
+
+    row = "shard long, w long, class byte, share double"
+    common = words.mapInArrow(lambda b: kinds(b, True), row).select("w", "class", "share").toPandas()  # the vocabulary, and words that share its codes
+    common = docs.sparkSession.sparkContext.broadcast([common[c].to_numpy() for c in ("w", "class", "share")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = prepared(*lookups.value)["codes"]
         for texts in gathered(batches, 2_000_000):
-            words, at, lengths = arrow_words(texts)
-            codes = np.append(codes_of(words), END_CODE)[np.insert(at, np.cumsum(lengths), -1)]
+            words_, at, lengths = arrow_words(texts)
+            codes = np.append(codes_of(words_), END_CODE)[np.insert(at, np.cumsum(lengths), -1)]
             keys, n = np.unique(pair_keys(codes, np.repeat(np.arange(len(lengths)), lengths + 1)), return_counts=True)
-            shard = (keys * SPREAD >> np.uint64(33)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                own = keys[part]
+            low = keys & np.uint64(2**32 - 1)
+            for shard, part in by_part(np.where(among(low, vocabulary), dealt(keys, shards), dealt(low, shards))):
                 # Words before in a row repeat, so that they shrink well by themselves.
-                columns = [[int(shard[part[0]])], [(own >> np.uint64(32)).astype("<u4").tobytes()], [own.astype("<u4").tobytes()], [n[part].astype("<u4").tobytes()]]
+                columns = [[shard], [(keys[part] >> np.uint64(32)).astype("<u4").tobytes()], [low[part].astype("<u4").tobytes()], [n[part].astype("<u4").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["shard", "high", "low", "n"])
 
-    def total(table: pa.Table) -> pa.Table:
-        keys = packed_numbers(table.column("high")).astype(np.uint64)
-        keys <<= np.uint64(32)
-        keys |= packed_numbers(table.column("low"))
+    def total(table: pa.Table, own: pa.Table) -> pa.Table:
+        keys = numbers(table, "high", "<u4").astype(np.uint64) << np.uint64(32) | numbers(table, "low", "<u4")
+        if not len(keys):
+            return packed_rows([], COUNTED)
         order = np.argsort(keys)
-        keys, n = keys[order], packed_numbers(table.column("n"))[order]
-        del order
+        keys, n = keys[order], numbers(table, "n", "<u4")[order]
         firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, n = keys[firsts], np.add.reduceat(n, firsts, dtype=np.int64)
-        level = np.floor(np.log2(n)).astype(np.int64)
-        rows = [(table.column("shard")[0].as_py(), int(x), int((level == x).sum()), keys[level == x].tobytes(), n[level == x].tobytes()) for x in np.unique(level)]
-        return pa.table(dict(zip(("shard", "level", "size", "keys", "counts"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([("shard", pa.int64()), ("level", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    return docs.select("text").mapInArrow(count, row).groupBy("shard").applyInArrow(total, "shard long, level long, size long, keys binary, counts binary")
-
-
-#: Pairs weighed in one group, about; all after one word lie in one.
-GROUP = 300_000
-
-
-def pair_weights(pairs: DataFrame, counts: DataFrame, classes: DataFrame, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+        w, kind, share = (np.append(a, own.column(c).to_numpy()) for a, c in zip(common.value, ("w", "class", "share"), strict=True))
+        order = np.argsort(w, kind="stable")
+        w, kind, share = w[order], kind[order], share[order]
+        low = (keys & np.uint64(2**32 - 1)).astype(np.int64)
+        first = np.searchsorted(w, low)
+        times = np.searchsorted(w, low, "right") - first  # words of one code
+        at = np.repeat(np.arange(len(keys)), times)
+        word = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        rows, high = [], keys >> np.uint64(32)
+        for part, some in by_part(dealt(high, shards)[at]):
+            i, k = at[some], word[some]
+            columns = {"high": high[i].astype("<u4"), "low": low[i].astype("<u4"), "n": n[i], "class": kind[k].astype("u1"), "share": share[k].astype("<f4")}
+            rows.append({"part": part} | {c: x.tobytes() for c, x in columns.items()})
+        rows[0]["sizes"] = np.bincount(np.floor(np.log2(n)).astype(np.int64), minlength=64).astype("<i8").tobytes()
+        return packed_rows(rows, COUNTED)
+
+    rare = words.mapInArrow(lambda b: kinds(b, False), row).groupBy("shard")
+    return docs.select("text").mapInArrow(count, "shard long, high binary, low binary, n binary").groupBy("shard").cogroup(rare).applyInArrow(total, schema_text(COUNTED))
+
+
+def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
     """((keys times SPREAD in order, their weights; words before in order, where theirs start, classes, what these keys and what all pairs add to them), a table with the rest).
 
-    The keys are those after words of the vocabulary, from the least power of two on with which at most
-    PAIRS are left. The table has the others' keys and weights, and what pairs add after words beyond the
-    vocabulary, as bytes. counts: word, n; classes: class, in_class (what its words share), class_p.
+    pairs: as pair_counts() returns them. The keys are those after words of the vocabulary, from the least
+    power of two on with which at most PAIRS are left. The table has the others' keys and weights, and what
+    pairs add after words beyond the vocabulary, as bytes.
     """
-    sizes = {r["level"]: r["size"] for r in pairs.groupBy("level").agg(F.sum("size").alias("size")).collect()}  # one row for each power of two
-    least = next((x for x in range(64) if sum(n for level, n in sizes.items() if level >= x) <= PAIRS), 64)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = np.frombuffer(keys, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(32)).astype(np.int64)), pa.array((k & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["u", "w", "n"])
-
-    every_pair = pairs.select("keys", "counts").mapInArrow(unpack, "u long, w long, n long")
-    class_of = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", shared_class(F.col("word"))))
-    words = counts.withColumn("class", class_of).join(F.broadcast(classes), "class").select(F.crc32(F.encode("word", "utf-8")).alias("w"), F.col("class").cast("byte"), ((F.col("n") + ADDED) / F.col("in_class")).alias("share"))
-    rows = every_pair.join(words, "w").select("u", "w", "n", "class", "share")
-    class_p = np.array([r["class_p"] for r in classes.orderBy("class").collect()])  # CLASSES rows
+    sizes = np.zeros(64, np.int64)
+    for r in pairs.where(F.length("sizes") > 0).select("sizes").collect():  # one row for each shard
+        sizes += np.frombuffer(r[0], "<i8")
+    least = next((x for x in range(64) if sizes[x:].sum() <= PAIRS), 64)
+    parts = parts_of(pairs.sparkSession)
 
     def weigh(table: pa.Table) -> pa.Table:
         """All pairs after some words."""
-        u, w, n, kind, share = (c.to_numpy() for c in table.columns)
+        u, w, n, kind, share = (numbers(table, c, k).astype(t) for c, k, t in (("high", "<u4", np.int64), ("low", "<u4", np.int64), ("n", "<i8", np.int64), ("class", "u1", np.int64), ("share", "<f4", np.float64)))
         every, at = np.unique(u, return_inverse=True)
         # Words of one code share a pair's weight.
         keys, first, pair = np.unique(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_index=True, return_inverse=True)
@@ -270,55 +317,32 @@ def pair_weights(pairs: DataFrame, counts: DataFrame, classes: DataFrame, lookup
         p = (n[first] - DISCOUNT) / n_u[own]
         z = np.maximum(1 - np.bincount(own, q), 1e-6) / np.maximum(1 - np.bincount(own, p), 1e-3)
         weight = np.maximum(np.log(p / q * z[own]), 0).astype("<f4")
-        common = np.isin(every, prepared(*lookups.value)["codes"])
+        vocabulary = prepared(*lookups.value)["codes"]
+        common = among(every, vocabulary)
         head = (n[first] >= 2.0**least) & common[own]
         gain = share * np.expm1(weight.astype(np.float64))[pair]
         adds, head_adds = np.bincount(cell, gain, len(every) * CLASSES), np.bincount(cell, gain * head[pair], len(every) * CLASSES)
         some, more = weight > 0, np.flatnonzero(adds)
         known = common[more // CLASSES]
-        out = [x for k in (some & head, some & ~head) for x in (keys[k], weight[k])]
-        out += [x for k in (more[known], more[~known]) for x in ((every[k // CLASSES]).astype("<u4"), (k % CLASSES).astype("u1"), adds[k].astype("<f4"))]
-        return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(WEIGHED, [*out, head_adds[more[known]].astype("<f4")], strict=True)})
-
-    groups = max(shuffle_partitions(rows.sparkSession), sum(sizes.values()) // GROUP)
-    dealt = rows.groupBy(F.pmod(F.xxhash64("u"), F.lit(groups))).applyInArrow(weigh, ", ".join(f"{c} binary" for c in WEIGHED))
-    dealt = written(dealt, "lm-pair-weights")
-    got = dealt.select("keys", "weights", "u", "class", "adds", "head_adds").collect()  # at most PAIRS pairs, and CLASSES numbers for each word of the vocabulary
+        k, m = some & head, more[known]
+        head_row = {"keys": keys[k], "weights": weight[k], "u": every[m // CLASSES].astype("<u4"), "class": (m % CLASSES).astype("u1"), "adds": adds[m].astype("<f4"), "head_adds": head_adds[m].astype("<f4")}
+        rows = {-1: {c: x.tobytes() for c, x in head_row.items()}}
+        keys, weight, m = keys[some & ~head], weight[some & ~head], more[~known]
+        for part, i in by_part(places_of(keys, vocabulary, parts)):
+            columns = {"rest_high": (keys[i] >> np.uint64(32)).astype("<u4"), "rest_low": keys[i].astype("<u4"), "rest_weights": weight[i]}
+            rows.setdefault(part, {}).update({c: x.tobytes() for c, x in columns.items()})
+        for part, i in by_part(dealt(every[m // CLASSES], parts)):
+            columns = {"rest_u": every[m[i] // CLASSES].astype("<u4"), "rest_class": (m[i] % CLASSES).astype("u1"), "rest_adds": adds[m[i]].astype("<f4")}
+            rows.setdefault(part, {}).update({c: x.tobytes() for c, x in columns.items()})
+        return packed_rows([r | {"part": part} for part, r in rows.items()], WEIGHED)
+
+    weighed = written(pairs.drop("sizes").groupBy("part").applyInArrow(weigh, schema_text(WEIGHED)), "lm-pair-weights")
+    got = weighed.where("part < 0").select("keys", "weights", "u", "class", "adds", "head_adds").collect()  # at most PAIRS pairs, and CLASSES numbers for each word of the vocabulary
     keys, weight, u, kind, more, own = (np.frombuffer(b"".join(bytes(r[i]) for r in got), k) for i, k in enumerate(("<u8", "<f4", "<u4", "u1", "<f4", "<f4")))
     keys = keys * SPREAD
     order, by_u = np.argsort(keys), np.argsort(u, kind="stable")
     firsts = np.flatnonzero(np.append(True, u[by_u][1:] != u[by_u][:-1])) if len(u) else np.zeros(0, np.int64)
-    return (Sorted(keys[order], 64), weight[order], Sorted(u[by_u][firsts], 32), np.append(firsts, len(u)).astype(np.int32), kind[by_u], own[by_u], more[by_u]), dealt
-
-
-#: Columns of weighed pairs: those of the driver's keys, the other keys, and what is added after words of the vocabulary and after others.
-WEIGHED = ("keys", "weights", "rest_keys", "rest_weights", "u", "class", "adds", "rest_u", "rest_class", "rest_adds", "head_adds")
-
-
-def other_pairs(weighed: DataFrame) -> DataFrame:
-    """key, weight of the pairs that are not broadcast."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(weights, "<f4"))], names=["key", "weight"])
-
-    return weighed.select("rest_keys", "rest_weights").mapInArrow(unpack, "key long, weight float")
-
-
-def other_contexts(weighed: DataFrame) -> DataFrame:
-    """u, classes, adds (bytes) of the words beyond the vocabulary that pairs follow."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for us, kinds, adds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                u = np.frombuffer(us, "<u4").astype(np.int64)
-                ends = np.append(np.flatnonzero(u[1:] != u[:-1]) + 1, len(u)) if len(u) else np.zeros(0, np.int64)
-                starts = np.append(0, ends[:-1]) if len(u) else ends
-                parts = [[x[k * a : k * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] for k, x in ((1, kinds), (4, adds))]
-                yield pa.RecordBatch.from_arrays([pa.array(u[starts]), *[pa.array(x, pa.binary()) for x in parts]], names=["u", "classes", "adds"])
-
-    return weighed.select("rest_u", "rest_class", "rest_adds").mapInArrow(unpack, "u long, classes binary, adds binary")
+    return (Sorted(keys[order], 64), weight[order], Sorted(u[by_u][firsts], 32), np.append(firsts, len(u)).astype(np.int32), kind[by_u], own[by_u], more[by_u]), weighed
 
 
 class Sorted:
@@ -398,7 +422,8 @@ def statistics(docs: DataFrame, model, weights) -> np.ndarray:
 
     # A group holds FAN rows of fixed size, and then one row for each FAN tasks; BLOCKS rows come to the driver.
     parts = docs.select("text").mapInArrow(part, "block long, fan long, sums binary").groupBy("block", "fan").applyInArrow(total, "block long, sums binary")
-    rows = parts.groupBy("block").applyInArrow(total, "block long, sums binary").collect()
+    with tidied(docs.sparkSession):
+        rows = parts.groupBy("block").applyInArrow(total, "block long, sums binary").collect()
     out = np.zeros((2, FEATURES, CLASSES))
     for r in rows:
         out[:, r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["sums"], np.float32).reshape(2, wide, CLASSES)
@@ -431,9 +456,8 @@ def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray
         logs[at : at + STEP] = out - np.log1p(np.einsum("ij,ij->i", p, table[which]))
     if rest is not None:
         before = (pairs >> np.uint64(32)).astype(np.int64)
-        known = use["codes"]
-        after = np.flatnonzero(known[np.minimum(np.searchsorted(known, before), len(known) - 1)] != before)
-        rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent].view(np.int64), "after": after, "u": before[after], "feats": np.ascontiguousarray(feats[:, after].T).view(np.int64)[:, 0]}
+        after = np.flatnonzero(~among(before, use["codes"]))
+        rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent], "after": after, "u": before[after], "feats": np.ascontiguousarray(feats[:, after].T)}
     return logs
 
 
@@ -474,9 +498,14 @@ def fitted(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         theta = np.clip(theta + STEPS[min(r, len(STEPS) - 1)] * np.log((seen + prior) / (expected + prior)), -LIMIT, LIMIT).astype(np.float32)
         weights.unpersist()
 
-    shares = spark.createDataFrame([(k, float(in_class[k]), float(np.exp(bias[k]))) for k in range(CLASSES)], "class int, in_class double, class_p double")
+    shares = spark.createDataFrame([(k, float(in_class[k])) for k in range(CLASSES)], "class int, in_class double")
     own_words = spark.createDataFrame(list(zip(own, range(len(own)), strict=True)), "word string, own int")
-    pairs, weighed = pair_weights(written(pair_counts(train), "lm-pair-counts"), counts.join(F.broadcast(own_words), "word", "left"), shares, lookups)
+    class_of = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", shared_class(F.col("word"))))
+    classed = counts.join(F.broadcast(own_words), "word", "left").withColumn("class", class_of).join(F.broadcast(shares), "class")
+    classed = classed.select(F.crc32(F.encode("word", "utf-8")).alias("w"), F.col("class").cast("byte"), ((F.col("n") + ADDED) / F.col("in_class")).alias("share"))
+    counted = written(pair_counts(train, classed, lookups), "lm-pair-counts")
+    pairs, weighed = pair_weights(counted, np.exp(bias).astype(np.float64), lookups)
+    discard(counted)
     return Model(counts, whole["n"], whole["v"], in_class, lookups, spark.sparkContext.broadcast((theta, pairs)), weighed)
 
 
@@ -500,31 +529,68 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 own = np.where(rare, 0.0, known_log[places])  # words beyond the vocabulary meet theirs later
                 sums = lambda x: np.bincount(docs_of, weights=x, minlength=n_docs)  # noqa: B023, E731
                 rare_words = words_.take(pa.array(indices[rare])).cast(pa.string()) if rare.any() else pa.array([], pa.string())
-                listed = lambda tokens, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(docs_of[tokens], minlength=n_docs))).astype(np.int32)), x)  # noqa: B023, E731
-                lists = [listed(rare, rare_words), listed(rest["tokens"], pa.array(rest["keys"])), listed(rest["after"], pa.StructArray.from_arrays([pa.array(rest["u"]), pa.array(rest["feats"])], ["u", "feats"]))]
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(docs_of[rare], minlength=n_docs))).astype(np.int32)), rare_words)
                 known = np.bincount(docs_of[~rare], weights=(use["n"][places[~rare]] > 0), minlength=n_docs).astype(np.int64)
-                columns = [some.column("row"), some.column("doc_id"), pa.array(np.bincount(docs_of, minlength=n_docs).astype(np.int64)), pa.array(known), pa.array(sums(own - all_words)), pa.array(sums(logs / math.log(10) + own - in_class[classes])), *lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare", "pairs", "after"])
-
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>, pairs array<long>, after array<struct<u long, feats long>>")
-    rows = written(rows, "scored")
+                columns = [some.column("row"), some.column("doc_id"), pa.array(np.bincount(docs_of, minlength=n_docs).astype(np.int64)), pa.array(known), pa.array(sums(own - all_words)), pa.array(sums(logs / math.log(10) + own - in_class[classes])), listed]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n_docs, f.type) for f in asked]], schema=both)
+                yield from asks(some.column("row")[0].as_py(), docs_of.astype("u1"), rest, use["codes"])
+
+    asked = [pa.field("part", pa.int64()), *[pa.field(c, pa.binary()) for c in ("high", "low", "doc", "u", "feats", "u_doc")]]
+    main = [pa.field("row", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("known", pa.int64()), pa.field("base", pa.float64()), pa.field("model", pa.float64()), pa.field("rare", pa.list_(pa.string()))]
+    both = pa.schema([*main, *asked])
+    parts = parts_of(docs.sparkSession)
+
+    def asks(row: int, docs_of: np.ndarray, rest: dict, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What a slice asks each part: its pairs that are not broadcast, and its tokens after words beyond the vocabulary, with their documents, counted from row."""
+        order = np.argsort(rest["keys"], kind="stable")
+        keys, own = rest["keys"][order], docs_of[rest["tokens"][order]]
+        rows: dict[int, dict] = {}
+        for part, i in by_part(places_of(keys, codes, parts)):
+            rows.setdefault(part, {}).update({"high": (keys[i] >> np.uint64(32)).astype("<u4").tobytes(), "low": keys[i].astype("<u4").tobytes(), "doc": own[i].tobytes()})
+        for part, i in by_part(dealt(rest["u"], parts)):
+            rows.setdefault(part, {}).update({"u": rest["u"][i].astype("<u4").tobytes(), "feats": rest["feats"][i].tobytes(), "u_doc": docs_of[rest["after"][i]].tobytes()})
+        if rows:
+            columns = [pa.array([part for part in rows], pa.int64()), *[pa.array([r.get(f.name, b"") for r in rows.values()], f.type) for f in asked[1:]]]
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int64()), *[pa.nulls(len(rows), f.type) for f in main[1:]], *columns], schema=both)
+
+    # Ids of rows rise by one within a task.
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>, part long, high binary, low binary, doc binary, u binary, feats binary, u_doc binary")
+    scored = written(rows, "scored")
+    rows = scored.where(F.col("part").isNull()).select(*[f.name for f in main])
     rare = rows.select("row", F.explode("rare").alias("word")).join(model.counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADDED)).alias("more"), F.count("n").alias("more_known"))
 
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the normaliser takes off for pairs after words beyond the vocabulary."""
-        for batch in batches:
+    def answer(table: pa.Table, own: pa.Table) -> pa.Table:
+        """row, x: what a part's pairs add to rows, and what the normaliser takes off for those after words beyond the vocabulary."""
+        starts = table.column("row").to_numpy()
+        of = lambda c, doc: np.repeat(starts, np.asarray(pc.binary_length(table.column(c)), np.int64) // 4) + numbers(table, doc, "u1")
+        both_words = lambda t, high, low: numbers(t, high, "<u4").astype(np.uint64) << np.uint64(32) | numbers(t, low, "<u4")
+        keys, asked_keys, weight = both_words(own, "rest_high", "rest_low"), both_words(table, "high", "low"), numbers(own, "rest_weights", "<f4")
+        row, x = of("high", "doc"), np.zeros(len(asked_keys))
+        if len(keys):
+            order = np.argsort(keys)
+            keys, weight = keys[order], weight[order]
+            place = np.minimum(np.searchsorted(keys, asked_keys), len(keys) - 1)
+            x = np.where(keys[place] == asked_keys, weight[place], 0).astype(np.float64)
+        u, feats, kinds, adds = numbers(table, "u", "<u4"), numbers(table, "feats", "<u2").reshape(-1, TEMPLATES), numbers(own, "rest_class", "u1"), numbers(own, "rest_adds", "<f4")
+        every, at = np.unique(numbers(own, "rest_u", "<u4"), return_inverse=True)
+        off = np.zeros(len(u))
+        if len(every) and len(u):
+            dense = np.zeros((len(every), CLASSES), np.float32)
+            dense[at, kinds] = adds
+            place = np.minimum(np.searchsorted(every, u), len(every) - 1)
+            hit = np.flatnonzero(every[place] == u)
             theta, bias = weights.value[0], prepared(*lookups.value)["bias"]
-            feats = np.ascontiguousarray(np.asarray(batch.column(1)).view(np.uint16).reshape(-1, TEMPLATES).T)
-            kinds, adds = (b"".join(batch.column(i).to_pylist()) for i in (2, 3))
-            lengths = np.asarray(pc.binary_length(batch.column(2)), np.int64)
-            at = np.repeat(np.arange(len(lengths)), lengths)
-            share = class_shares(feats, theta, bias)[1]
-            off = -np.log1p(np.bincount(at, share[at, np.frombuffer(kinds, "u1")] * np.frombuffer(adds, "<f4"), len(lengths)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(off)], names=["row", "x"])
-
-    gains = rows.select("row", F.explode("pairs").alias("key")).join(other_pairs(model.weighed), "key").select("row", F.col("weight").cast("double").alias("x"))
-    after = rows.select("row", F.explode("after").alias("a")).select("row", "a.u", "a.feats").join(other_contexts(model.weighed), "u").select("row", "feats", "classes", "adds")
-    of_pairs = gains.unionByName(after.mapInArrow(normalise, "row long, x double")).groupBy("row").agg((F.sum("x") / math.log(10)).alias("of_pairs"))
-    out = rows.drop("rare", "pairs", "after").join(rare, "row", "left").join(of_pairs, "row", "left")
+            for some in np.split(hit, range(STEP, len(hit), STEP)):
+                share = class_shares(np.ascontiguousarray(feats[some].T), theta, bias)[1]
+                off[some] = -np.log1p(np.einsum("ij,ij->i", share, dense[place[some]]))
+        every, at = np.unique(np.append(row, of("u", "u_doc")), return_inverse=True)
+        sums = np.bincount(at, np.append(x, off), len(every))
+        return pa.table({"row": pa.array(every[sums != 0].astype(np.int64)), "x": pa.array(sums[sums != 0])})
+
+    tokens = scored.where(F.col("part").isNotNull()).select("row", *[f.name for f in asked]).groupBy("part")
+    answers = tokens.cogroup(model.weighed.where("part >= 0").select("part", *[c for c in WEIGHED.names if c.startswith("rest")]).groupBy("part")).applyInArrow(answer, "row long, x double")
+    of_pairs = written(answers.groupBy("row").agg((F.sum("x") / math.log(10)).alias("of_pairs")), "lm-of-pairs")
+    discard(model.weighed)
+    out = rows.drop("rare").join(rare, "row", "left").join(of_pairs, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more + F.coalesce("of_pairs", F.lit(0.0))).alias("score"))

@@ -2,6 +2,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -253,6 +254,16 @@ def test_lm_scores_by_all_pairs_however_few_are_broadcast(spark, monkeypatch):
     assert {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()} == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_leaves_no_tables_of_pairs(spark):
+    """Tables of all pairs go before the result is there, to spare disk."""
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(60)], "doc_id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert lm.scores(docs).count() == 60
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert "scored" in left and not left & {"lm-pair-counts", "lm-pair-weights"}
+
+
 def test_lm_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
