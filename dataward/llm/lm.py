@@ -21,8 +21,10 @@ vocabulary, and documents are scored in sparse numpy batches.
 
 Only the class weights (FEATURES x CLASSES numbers), at most PAIRS pair weights, at most VOCABULARY of
 the commonest words and what all pairs after these add to each class pass through the driver; they are
-broadcast. Shuffles bring the rest: words beyond that vocabulary meet their counts, the other pairs their
-weights, and tokens after a word beyond it what its pairs add. Pairs travel as packed numbers, many to a row.
+broadcast. One shuffle brings the rest: slices of documents ask for the counts of words beyond that
+vocabulary, for the other pairs' weights, and after a word beyond it for what its pairs add; another brings
+the answers back to their slices. All travel as packed and compressed numbers, many to a row. To be
+small, a word of the vocabulary goes by its place there, and others by a hash.
 
 Defined results: a null or empty text has one token, the end; repeated rows are scored alike, each
 counting in training; a null doc_id hashes as empty text; without training documents all
@@ -64,9 +66,12 @@ STEPS = (0.45, 0.35, 0.3, 0.25)
 LIMIT = 15
 #: The end sign as a word; no word holds white space.
 END = "\n"
-END_CODE = crc32(END.encode())
+#: Codes of words beyond the vocabulary begin here; others are their places in it, the end sign's 0.
+RARE = 1 << 17
+END_CODE = 0
 #: An odd number: multiples of distinct numbers differ, and lie evenly.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(2**32 - 1)
 SHARED = CLASSES - OWN - 1
 _tables: dict[str, dict] = {}
 
@@ -103,9 +108,43 @@ def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, their first bytes together, then their second, and so on."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x).view("u1").reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    if not x:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), "u1")
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, their upper halves as steps."""
+    high = keys >> np.uint64(32)
+    return packed(np.diff(high, prepend=np.uint64(0)) << np.uint64(32) | keys & LOW)
+
+
+def unpacked_keys(x: bytes) -> np.ndarray:
+    keys = unpacked(x, "<u8")
+    return np.cumsum(keys >> np.uint64(32), dtype=np.uint64) << np.uint64(32) | keys & LOW
+
+
+def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def numbers(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    """The numbers of all rows of packed bytes, one after another."""
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    """The numbers of all rows, one after another."""
+    return joined([unpacked(x, kind) for x in table.column(name).to_pylist() if x], kind)
+
+
+def keys_in(table: pa.Table, name: str) -> np.ndarray:
+    return joined([unpacked_keys(x) for x in table.column(name).to_pylist() if x], "<u8")
 
 
 def dealt(x: np.ndarray, parts: int) -> np.ndarray:
@@ -113,16 +152,10 @@ def dealt(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x.astype(np.uint64) * SPREAD >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def among(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Which numbers are in codes, which are in order and not empty."""
-    x = x.astype(np.int64)
-    return codes[np.minimum(np.searchsorted(codes, x), len(codes) - 1)] == x
-
-
-def places_of(keys: np.ndarray, codes: np.ndarray, parts: int) -> np.ndarray:
-    """The part that each pair belongs to: after a word of the vocabulary by pair, so that a common word's lie in all, else by word."""
-    u = keys >> np.uint64(32)
-    return np.where(among(u, codes), dealt(keys, parts), dealt(u, parts))
+def places_of(keys: np.ndarray, parts: int, side: int = 32) -> np.ndarray:
+    """The part that each pair belongs to: by the pair if the word before (with side 0, the second) is of the vocabulary, so that a common word's lie in all, else by that word."""
+    word = keys >> np.uint64(side) & LOW
+    return np.where(word < RARE, dealt(keys, parts), (word % np.uint64(parts)).astype(np.int64))
 
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,33 +204,65 @@ def prepared(key: str, model: dict) -> dict:
     if key not in _tables:
         _tables.clear()
         words = model["words"]
-        _tables[key] = model | {"index": pa.array(words, pa.large_string()), "codes": np.sort(np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words))), "class_of": np.array([i if i <= OWN else crc32(w[-2:].encode()) % SHARED + OWN + 1 for i, w in enumerate(words)], np.int64)}
+        class_of = np.array([i if i <= OWN else crc32(w[-2:].encode()) % SHARED + OWN + 1 for i, w in enumerate(words)], np.int64)
+        index = pa.array(words, pa.large_string())
+        _tables[key] = model | {"index": index, "hashes": hashes_of(index), "class_of": class_of, "share": (model["n"] + ADDED) / model["in_class"][class_of]}
     return _tables[key]
 
 
-def codes_of(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(crc32, words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+def crcs_of(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(crc32, words.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.int64, len(words))
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """Codes of words as if beyond the vocabulary."""
+    return crcs_of(words) % (2**32 - RARE) + RARE
+
+
+def rare_code(word: Column) -> Column:
+    """hashes_of() as a Column."""
+    return F.crc32(F.encode(word, "utf-8")) % (2**32 - RARE) + RARE
+
+
+def coded(words: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary places or -1, codes) of words."""
+    place = pc.fill_null(pc.index_in(words, value_set=model["index"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, rare = place.copy(), place < 0
+    if rare.any():
+        codes[rare] = hashes_of(words.filter(pa.array(rare)))
+    return place, codes
+
+
+def hashed(codes: np.ndarray, model: dict) -> np.ndarray:
+    """What features take words by, whatever the vocabulary."""
+    hashes = model["hashes"]
+    return np.where(codes < RARE, hashes[np.minimum(codes, len(hashes) - 1)], codes) - RARE
 
 
 def encoded(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """(vocabulary places or -1, classes, codes, documents, distinct words, indices into them) of all tokens, ends with index -1."""
     words, at, lengths = arrow_words(texts)
-    place = pc.fill_null(pc.index_in(words, value_set=model["index"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place, codes = coded(words, model)
     classes = np.empty(len(words), np.int64)
     known = place >= 0
     classes[known] = model["class_of"][place[known]]
     if not known.all():
         ends = pc.utf8_slice_codeunits(words.filter(pa.array(~known)), -2).dictionary_encode()
-        classes[~known] = (codes_of(ends.dictionary) % SHARED + OWN + 1)[np.asarray(ends.indices)]
+        classes[~known] = (crcs_of(ends.dictionary) % SHARED + OWN + 1)[np.asarray(ends.indices)]
     indices = np.insert(at, np.cumsum(lengths), -1)
     docs = np.repeat(np.arange(len(lengths)), lengths + 1)
     # The end sign has place and class 0, and stands last, where index -1 finds it.
     every = lambda x, end: np.append(x, end)[indices]
-    return every(place, 0), every(classes, 0), every(codes_of(words), END_CODE), docs, words, indices
+    return every(place, 0), every(classes, 0), every(codes, END_CODE), docs, words, indices
+
+
+def feature(template: int, key: np.ndarray) -> np.ndarray:
+    x = (key.astype(np.uint64) + np.uint64((template + 1) << 40)) * SPREAD
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 14)).astype(np.uint16)
 
 
 def features(codes: np.ndarray, classes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """A hashed feature of each template for each token: (TEMPLATES, tokens), below FEATURES."""
+    """A hashed feature of each template for each token: (TEMPLATES, tokens), below FEATURES; codes as hashed() gives them."""
 
     def before(x: np.ndarray, k: int) -> np.ndarray:
         """x of the k-th token before, counted from 1; 0 before the document's first."""
@@ -206,11 +271,7 @@ def features(codes: np.ndarray, classes: np.ndarray, docs: np.ndarray) -> np.nda
         return out
 
     keys = (before(codes, 1), before(classes, 1) * 128 + before(classes, 2), before(codes, 2), before(classes, 3) * 128 + before(classes, 4))
-    out = np.empty((TEMPLATES, len(codes)), np.uint16)
-    for i, key in enumerate(keys):
-        x = (key.astype(np.uint64) + np.uint64((i + 1) << 40)) * SPREAD
-        out[i] = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 14)).astype(np.uint16)
-    return out
+    return np.array([feature(i, key) for i, key in enumerate(keys)])
 
 
 def pair_keys(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -220,76 +281,63 @@ def pair_keys(codes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return before.astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64)
 
 
-COUNTED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("high", "low", "n", "class", "share", "sizes"))])
-#: Weighed pairs: those of the driver's keys and what is added after words of the vocabulary, in rows of part -1; by part, the other keys, and what is added after other words.
-WEIGHED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("keys", "weights", "u", "class", "adds", "head_adds", "rest_high", "rest_low", "rest_weights", "rest_u", "rest_class", "rest_adds"))])
+COUNTED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("keys", "n", "class", "share", "sizes"))])
+#: Weighed pairs: those of the driver's keys and what is added after words of the vocabulary, in rows of part -1; by part, the other keys, and what is added after other words, by word and class.
+WEIGHED = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("keys", "weights", "cells", "adds", "head_adds", "rest_keys", "rest_weights", "rest_cells", "rest_adds"))])
 
 
 def schema_text(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
+    kinds = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>", pa.list_(pa.float64()): "array<double>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def pair_counts(docs: DataFrame, words: DataFrame, lookups: Broadcast) -> DataFrame:
-    """Pairs over docs (text) with their counts and their second words' classes and shares, packed, by parts of the words before.
+def pair_counts(docs: DataFrame, rare: DataFrame, lookups: Broadcast) -> DataFrame:
+    """Pairs over docs (text) with their counts, packed, by parts of the words before, and classes and shares of second words beyond the vocabulary.
 
-    words: w, class, share. Tasks count the pairs of some megabytes of text at a time. Pairs before a word of
-    the vocabulary, whose share is broadcast, are dealt by a hash of the pair, so that a common word's lie in
-    all shards; the others are dealt by their word, and meet its share there.
+    rare: w, class, share of words beyond the vocabulary. Tasks count the pairs of some megabytes of text at a
+    time. Pairs before a word of the vocabulary are dealt by a hash of the pair, so that a common word's lie
+    in all shards; the others are dealt by their word, and meet its share there.
     """
     shards = parts_of(docs.sparkSession)
 
-    def kinds(batches: Iterator[pa.RecordBatch], common: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = batch.column(0).to_numpy()
-            some = batch.filter(pa.array(among(w, prepared(*lookups.value)["codes"]) == common))
-            yield pa.RecordBatch.from_arrays([pa.array(dealt(some.column(0).to_numpy(), shards)), *some.columns], names=["shard", "w", "class", "share"])
-
-    row = "shard long, w long, class byte, share double"
-    common = words.mapInArrow(lambda b: kinds(b, True), row).select("w", "class", "share").toPandas()  # the vocabulary, and words that share its codes
-    common = docs.sparkSession.sparkContext.broadcast([common[c].to_numpy() for c in ("w", "class", "share")])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = prepared(*lookups.value)["codes"]
         for texts in gathered(batches, 2_000_000):
-            words_, at, lengths = arrow_words(texts)
-            codes = np.append(codes_of(words_), END_CODE)[np.insert(at, np.cumsum(lengths), -1)]
+            words, at, lengths = arrow_words(texts)
+            codes = np.append(coded(words, prepared(*lookups.value))[1], END_CODE)[np.insert(at, np.cumsum(lengths), -1)]
             keys, n = np.unique(pair_keys(codes, np.repeat(np.arange(len(lengths)), lengths + 1)), return_counts=True)
-            low = keys & np.uint64(2**32 - 1)
-            for shard, part in by_part(np.where(among(low, vocabulary), dealt(keys, shards), dealt(low, shards))):
-                # Words before in a row repeat, so that they shrink well by themselves.
-                columns = [[shard], [(keys[part] >> np.uint64(32)).astype("<u4").tobytes()], [low[part].astype("<u4").tobytes()], [n[part].astype("<u4").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["shard", "high", "low", "n"])
+            rows = [{"shard": shard, "keys": packed_keys(keys[some]), "n": packed(n[some].astype("<i8"))} for shard, some in by_part(places_of(keys, shards, 0))]
+            yield from packed_rows(rows, pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])).to_batches()
 
     def total(table: pa.Table, own: pa.Table) -> pa.Table:
-        keys = numbers(table, "high", "<u4").astype(np.uint64) << np.uint64(32) | numbers(table, "low", "<u4")
+        keys = keys_in(table, "keys")
         if not len(keys):
             return packed_rows([], COUNTED)
         order = np.argsort(keys)
-        keys, n = keys[order], numbers(table, "n", "<u4")[order]
+        keys, n = keys[order], numbers(table, "n", "<i8")[order]
         firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, n = keys[firsts], np.add.reduceat(n, firsts, dtype=np.int64)
-        w, kind, share = (np.append(a, own.column(c).to_numpy()) for a, c in zip(common.value, ("w", "class", "share"), strict=True))
+        keys, n = keys[firsts], np.add.reduceat(n, firsts)
+        w, kind, share = (own.column(c).to_numpy() for c in ("w", "class", "share"))
         order = np.argsort(w, kind="stable")
         w, kind, share = w[order], kind[order], share[order]
-        low = (keys & np.uint64(2**32 - 1)).astype(np.int64)
+        low = (keys & LOW).astype(np.int64)
         first = np.searchsorted(w, low)
-        times = np.searchsorted(w, low, "right") - first  # words of one code
+        times = np.where(low < RARE, 1, np.searchsorted(w, low, "right") - first)  # words of one code
         at = np.repeat(np.arange(len(keys)), times)
         word = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
-        rows, high = [], keys >> np.uint64(32)
-        for part, some in by_part(dealt(high, shards)[at]):
-            i, k = at[some], word[some]
-            columns = {"high": high[i].astype("<u4"), "low": low[i].astype("<u4"), "n": n[i], "class": kind[k].astype("u1"), "share": share[k].astype("<f4")}
-            rows.append({"part": part} | {c: x.tobytes() for c, x in columns.items()})
+        rows = []
+        for part, some in by_part(dealt(keys >> np.uint64(32), shards)[at]):
+            i = at[some]
+            k = word[some][low[i] >= RARE]
+            rows.append({"part": part, "keys": packed_keys(keys[i]), "n": packed(n[i]), "class": packed(kind[k].astype("u1")), "share": packed(share[k].astype("<f4"))})
         rows[0]["sizes"] = np.bincount(np.floor(np.log2(n)).astype(np.int64), minlength=64).astype("<i8").tobytes()
         return packed_rows(rows, COUNTED)
 
-    rare = words.mapInArrow(lambda b: kinds(b, False), row).groupBy("shard")
-    return docs.select("text").mapInArrow(count, "shard long, high binary, low binary, n binary").groupBy("shard").cogroup(rare).applyInArrow(total, schema_text(COUNTED))
+    rare = rare.withColumn("shard", F.col("w") % shards).groupBy("shard")
+    return docs.select("text").mapInArrow(count, "shard long, keys binary, n binary").groupBy("shard").cogroup(rare).applyInArrow(total, schema_text(COUNTED))
 
 
-def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
-    """((keys times SPREAD in order, their weights; words before in order, where theirs start, classes, what these keys and what all pairs add to them), a table with the rest).
+def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """((keys times SPREAD in order, their weights; where those of each word of the vocabulary start, classes, what these keys and what all pairs add to them), a table with the rest).
 
     pairs: as pair_counts() returns them. The keys are those after words of the vocabulary, from the least
     power of two on with which at most PAIRS are left. The table has the others' keys and weights, and what
@@ -303,10 +351,14 @@ def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> t
 
     def weigh(table: pa.Table) -> pa.Table:
         """All pairs after some words."""
-        u, w, n, kind, share = (numbers(table, c, k).astype(t) for c, k, t in (("high", "<u4", np.int64), ("low", "<u4", np.int64), ("n", "<i8", np.int64), ("class", "u1", np.int64), ("share", "<f4", np.float64)))
+        pairs_, n, use = keys_in(table, "keys"), numbers(table, "n", "<i8"), prepared(*lookups.value)
+        u, w = (pairs_ >> np.uint64(32)).astype(np.int64), (pairs_ & LOW).astype(np.int64)
+        kind, share, rare = np.empty(len(w), np.int64), np.empty(len(w)), w >= RARE
+        kind[~rare], share[~rare] = use["class_of"][w[~rare]], use["share"][w[~rare]]
+        kind[rare], share[rare] = numbers(table, "class", "u1"), numbers(table, "share", "<f4")
         every, at = np.unique(u, return_inverse=True)
         # Words of one code share a pair's weight.
-        keys, first, pair = np.unique(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_index=True, return_inverse=True)
+        keys, first, pair = np.unique(pairs_, return_index=True, return_inverse=True)
         own = at[first]
         n_u, cell = np.bincount(own, n[first]), at * CLASSES + kind  # each word but the last sign is before one pair
         # What class features expect after a word: the classes seen there, as far as it is common.
@@ -317,32 +369,32 @@ def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> t
         p = (n[first] - DISCOUNT) / n_u[own]
         z = np.maximum(1 - np.bincount(own, q), 1e-6) / np.maximum(1 - np.bincount(own, p), 1e-3)
         weight = np.maximum(np.log(p / q * z[own]), 0).astype("<f4")
-        vocabulary = prepared(*lookups.value)["codes"]
-        common = among(every, vocabulary)
+        common = every < RARE
         head = (n[first] >= 2.0**least) & common[own]
         gain = share * np.expm1(weight.astype(np.float64))[pair]
         adds, head_adds = np.bincount(cell, gain, len(every) * CLASSES), np.bincount(cell, gain * head[pair], len(every) * CLASSES)
         some, more = weight > 0, np.flatnonzero(adds)
         known = common[more // CLASSES]
         k, m = some & head, more[known]
-        head_row = {"keys": keys[k], "weights": weight[k], "u": every[m // CLASSES].astype("<u4"), "class": (m % CLASSES).astype("u1"), "adds": adds[m].astype("<f4"), "head_adds": head_adds[m].astype("<f4")}
-        rows = {-1: {c: x.tobytes() for c, x in head_row.items()}}
-        keys, weight, m = keys[some & ~head], weight[some & ~head], more[~known]
-        for part, i in by_part(places_of(keys, vocabulary, parts)):
-            columns = {"rest_high": (keys[i] >> np.uint64(32)).astype("<u4"), "rest_low": keys[i].astype("<u4"), "rest_weights": weight[i]}
-            rows.setdefault(part, {}).update({c: x.tobytes() for c, x in columns.items()})
-        for part, i in by_part(dealt(every[m // CLASSES], parts)):
-            columns = {"rest_u": every[m[i] // CLASSES].astype("<u4"), "rest_class": (m[i] % CLASSES).astype("u1"), "rest_adds": adds[m[i]].astype("<f4")}
-            rows.setdefault(part, {}).update({c: x.tobytes() for c, x in columns.items()})
+        cells = every[more // CLASSES].astype(np.uint64) << np.uint64(32) | (more % CLASSES).astype(np.uint64)
+        rows = {-1: {"keys": packed_keys(keys[k]), "weights": packed(weight[k]), "cells": packed_keys(cells[known]), "adds": packed(adds[m].astype("<f4")), "head_adds": packed(head_adds[m].astype("<f4"))}}
+        k, cells, m = some & ~head, cells[~known], more[~known]
+        keys, weight = keys[k], weight[k]
+        for part, i in by_part(places_of(keys, parts)):
+            rows.setdefault(part, {}).update({"rest_keys": packed_keys(keys[i]), "rest_weights": packed(weight[i])})
+        for part, i in by_part(places_of(cells, parts)):
+            rows.setdefault(part, {}).update({"rest_cells": packed_keys(cells[i]), "rest_adds": packed(adds[m[i]].astype("<f4"))})
         return packed_rows([r | {"part": part} for part, r in rows.items()], WEIGHED)
 
     weighed = written(pairs.drop("sizes").groupBy("part").applyInArrow(weigh, schema_text(WEIGHED)), "lm-pair-weights")
-    got = weighed.where("part < 0").select("keys", "weights", "u", "class", "adds", "head_adds").collect()  # at most PAIRS pairs, and CLASSES numbers for each word of the vocabulary
-    keys, weight, u, kind, more, own = (np.frombuffer(b"".join(bytes(r[i]) for r in got), k) for i, k in enumerate(("<u8", "<f4", "<u4", "u1", "<f4", "<f4")))
+    names = ("keys", "weights", "cells", "adds", "head_adds")
+    got = pa.table({c: pa.array(x, pa.binary()) for c, x in zip(names, list(zip(*weighed.where("part < 0").select(*names).collect(), strict=True)) or [()] * len(names), strict=True)})  # at most PAIRS pairs, and CLASSES numbers for each word of the vocabulary
+    keys, weight, cells, more, own = keys_in(got, "keys"), numbers(got, "weights", "<f4"), keys_in(got, "cells"), numbers(got, "adds", "<f4"), numbers(got, "head_adds", "<f4")
+    u, kind = (cells >> np.uint64(32)).astype("<u4"), cells.astype("u1")
     keys = keys * SPREAD
     order, by_u = np.argsort(keys), np.argsort(u, kind="stable")
-    firsts = np.flatnonzero(np.append(True, u[by_u][1:] != u[by_u][:-1])) if len(u) else np.zeros(0, np.int64)
-    return (Sorted(keys[order], 64), weight[order], Sorted(u[by_u][firsts], 32), np.append(firsts, len(u)).astype(np.int32), kind[by_u], own[by_u], more[by_u]), weighed
+    starts = np.searchsorted(u[by_u], np.arange(len(lookups.value[1]["words"]) + 1)).astype(np.int32)
+    return (Sorted(keys[order], 64), weight[order], starts, kind[by_u], own[by_u], more[by_u]), weighed
 
 
 class Sorted:
@@ -372,24 +424,32 @@ class Sorted:
         return out
 
 
-def class_shares(feats: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of the classes, a row for each token, and the probabilities."""
-    logs, shares, ones = np.empty((feats.shape[1], CLASSES), np.float32), np.empty((feats.shape[1], CLASSES), np.float32), np.ones(CLASSES, np.float32)
-    for at in range(0, len(logs), ROWS):
+def class_shares(feats: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The classes' probabilities, a row for each token, and natural logs of those of own, a class for each token."""
+    n = feats.shape[1]
+    logs, shares, ones = np.empty(n if own is not None else 0, np.float32), np.empty((n, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+    added = np.empty((min(n, ROWS), CLASSES), np.float32)
+    for at in range(0, n, ROWS):
         first, *others = feats[:, at : at + ROWS]
-        z = weights[first]
+        z = shares[at : at + ROWS]
+        weights.take(first, axis=0, out=z, mode="clip")
         for f in others:
-            z += weights[f]
+            weights.take(f, axis=0, out=added[: len(f)], mode="clip")
+            z += added[: len(f)]
         z += bias
-        p = np.exp(z)  # LIMIT keeps it finite
-        total = (p @ ones)[:, None]
-        np.divide(p, total, out=shares[at : at + ROWS])
-        np.subtract(z, np.log(total), out=logs[at : at + ROWS])
-    return logs, shares
+        if own is not None:
+            logs[at : at + ROWS] = z[np.arange(len(z)), own[at : at + ROWS]]
+        np.exp(z, out=z)  # LIMIT keeps it finite
+        total = z @ ones
+        z /= total[:, None]
+        if own is not None:
+            logs[at : at + ROWS] -= np.log(total)
+    return shares, logs
 
 
 def class_logs(feats: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return class_shares(feats, weights, bias)[0]
+    """Natural log probabilities of all classes, a row for each token."""
+    return np.array([class_shares(feats, weights, bias, np.full(feats.shape[1], c))[1] for c in range(CLASSES)]).T
 
 
 def statistics(docs: DataFrame, model, weights) -> np.ndarray:
@@ -402,12 +462,12 @@ def statistics(docs: DataFrame, model, weights) -> np.ndarray:
             use, now = prepared(*model.value), weights.value
             for at, rows in slices(batch.column(0), 2 * SLICE):
                 _, classes, codes, own, _, _ = encoded(batch.column(0).slice(at, rows), use)
-                every, seen = features(codes, classes, own), True
+                every, seen = features(hashed(codes, use), classes, own), True
                 for f in every:
                     sums[0] += np.bincount(f.astype(np.int64) * CLASSES + classes, minlength=FEATURES * CLASSES).reshape(FEATURES, CLASSES)
                 for start in range(0, len(codes), BATCH):
                     feats = every[:, start : start + BATCH]
-                    p = np.ascontiguousarray(class_shares(feats, now, use["bias"])[1].T, np.float64)
+                    p = np.ascontiguousarray(class_shares(feats, now, use["bias"])[0].T, np.float64)
                     for f in feats.astype(np.int64):
                         for c in range(CLASSES):
                             expected[c] += np.bincount(f, p[c], FEATURES)
@@ -434,36 +494,34 @@ def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray
     """Natural log probabilities of all tokens, but for the shares of their classes, by the pairs that are broadcast.
 
     With rest, they are by all pairs but for what it then says is missing: `tokens` whose pairs are not
-    broadcast, with their `keys`; `after`, tokens after words beyond the vocabulary, and their `feats`.
+    broadcast, all those after words beyond the vocabulary among them, with their `keys` and `feats`.
     """
-    theta, (keys, boost, contexts, starts, kinds, head_adds, adds) = weights
+    theta, (keys, boost, starts, kinds, head_adds, adds) = weights
     adds = head_adds if rest is None else adds
-    feats, pairs = features(codes, classes, docs), pair_keys(codes, docs)
+    feats, pairs = features(hashed(codes, use), classes, docs), pair_keys(codes, docs)
     logs, absent = np.empty(len(codes)), np.empty(len(codes), bool)
     for at in range(0, len(codes), STEP):
-        (z, p), own = class_shares(feats[:, at : at + STEP], theta, use["bias"]), pairs[at : at + STEP]
-        out = z[np.arange(len(z)), classes[at : at + STEP]].astype(np.float64)
+        (p, out), own = class_shares(feats[:, at : at + STEP], theta, use["bias"], classes[at : at + STEP]), pairs[at : at + STEP]
+        out = out.astype(np.float64)
         found = keys.find(own * SPREAD)
         out[found >= 0] += boost[found[found >= 0]]
         absent[at : at + STEP] = found < 0
         # What pair features add to each class after the word before.
         seen, which = np.unique(own >> np.uint64(32), return_inverse=True)
-        where = contexts.find(seen.astype(np.uint32))
-        n_adds = np.where(where >= 0, starts[where + 1] - starts[where], 0)
+        where = np.minimum(seen, len(starts) - 2).astype(np.int64)
+        n_adds = np.where(seen < len(starts) - 1, starts[where + 1] - starts[where], 0)
         entries = np.repeat(starts[where] - np.cumsum(n_adds) + n_adds, n_adds) + np.arange(n_adds.sum())
         table = np.zeros((len(seen), CLASSES), np.float32)
         table[np.repeat(np.arange(len(seen)), n_adds), kinds[entries]] = adds[entries]
         logs[at : at + STEP] = out - np.log1p(np.einsum("ij,ij->i", p, table[which]))
     if rest is not None:
-        before = (pairs >> np.uint64(32)).astype(np.int64)
-        after = np.flatnonzero(~among(before, use["codes"]))
-        rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent], "after": after, "u": before[after], "feats": np.ascontiguousarray(feats[:, after].T)}
+        rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent], "feats": feats[:, absent]}
     return logs
 
 
 @dataclass
 class Model:
-    counts: DataFrame
+    rare: DataFrame
     total: int
     distinct: int
     in_class: np.ndarray
@@ -487,7 +545,7 @@ def fitted(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     bias = np.log((class_n + ADDED) / (class_n.sum() + ADDED * CLASSES)).astype(np.float32)
     # A class of one word shares nothing; the others' words share with one unknown word.
     in_class = np.where(np.arange(CLASSES) < len(own), class_n + ADDED, class_n + ADDED * (class_v + 1))
-    lookups = spark.sparkContext.broadcast((uuid.uuid4().hex, {"words": words, "n": n_of, "bias": bias}))
+    lookups = spark.sparkContext.broadcast((uuid.uuid4().hex, {"words": words, "n": n_of, "bias": bias, "in_class": in_class}))
 
     theta = np.zeros((FEATURES, CLASSES), np.float32)
     part = F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / 10) % rounds
@@ -498,15 +556,24 @@ def fitted(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         theta = np.clip(theta + STEPS[min(r, len(STEPS) - 1)] * np.log((seen + prior) / (expected + prior)), -LIMIT, LIMIT).astype(np.float32)
         weights.unpersist()
 
-    shares = spark.createDataFrame([(k, float(in_class[k])) for k in range(CLASSES)], "class int, in_class double")
-    own_words = spark.createDataFrame(list(zip(own, range(len(own)), strict=True)), "word string, own int")
-    class_of = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", shared_class(F.col("word"))))
-    classed = counts.join(F.broadcast(own_words), "word", "left").withColumn("class", class_of).join(F.broadcast(shares), "class")
-    classed = classed.select(F.crc32(F.encode("word", "utf-8")).alias("w"), F.col("class").cast("byte"), ((F.col("n") + ADDED) / F.col("in_class")).alias("share"))
-    counted = written(pair_counts(train, classed, lookups), "lm-pair-counts")
+    beyond = counts.where((F.col("word") != END) & (F.col("n") < (top[-1]["n"] if top else 2**62)))
+    rare = beyond.select("word", "n", rare_code(F.col("word")).alias("w"), shared_class(F.col("word")).cast("byte").alias("class"))
+    in_class_of = F.element_at(F.array(*map(F.lit, in_class.tolist())), F.col("class") + 1)
+    shares = rare.select("w", "class", ((F.col("n") + ADDED) / in_class_of).alias("share"))
+    counted = written(pair_counts(train, shares, lookups), "lm-pair-counts")
     pairs, weighed = pair_weights(counted, np.exp(bias).astype(np.float64), lookups)
     discard(counted)
-    return Model(counts, whole["n"], whole["v"], in_class, lookups, spark.sparkContext.broadcast((theta, pairs)), weighed)
+    return Model(rare.select("word", "n", "w"), whole["n"], whole["v"], in_class, lookups, spark.sparkContext.broadcast((theta, pairs)), weighed)
+
+
+#: Of a slice of documents: its own row, with what needs no more than broadcasts; what it asks a part, with documents counted from its first: pairs, those after words beyond the vocabulary with all but the first of their features, and words beyond it, each once, with how often; and a part's answer.
+SLICED = pa.schema([("slice", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "n_tokens", "known")), *((c, pa.list_(pa.float64())) for c in ("base", "model"))])
+ASKED = pa.schema([*SLICED, ("part", pa.int64()), *((c, pa.binary()) for c in ("keys", "doc", "feats", "words", "times", "word_doc"))])
+ANSWERED = pa.schema([*SLICED, *((c, pa.binary()) for c in ("doc", "more", "word_doc", "word_n"))])
+
+
+def with_nulls(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in schema}, schema=schema)
 
 
 def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -516,81 +583,103 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lookups, weights, in_class = model.lookups, model.weights, np.log10(model.in_class)
     all_words = math.log10(model.total + ADDED * (model.distinct + 1))
 
+    parts = parts_of(docs.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, now = prepared(*lookups.value), weights.value
         known_log = np.log10(use["n"] + ADDED)
         for batch in batches:
             for start, n_docs in slices(batch.column("text"), SLICE):
                 some = batch.slice(start, n_docs)
-                places, classes, codes, docs_of, words_, indices = encoded(some.column("text"), use)
+                places, classes, codes, docs_of, words, indices = encoded(some.column("text"), use)
                 rest: dict = {}
                 logs = token_logs(use, now, classes, codes, docs_of, rest)
                 rare = places < 0
                 own = np.where(rare, 0.0, known_log[places])  # words beyond the vocabulary meet theirs later
                 sums = lambda x: np.bincount(docs_of, weights=x, minlength=n_docs)  # noqa: B023, E731
-                rare_words = words_.take(pa.array(indices[rare])).cast(pa.string()) if rare.any() else pa.array([], pa.string())
-                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(docs_of[rare], minlength=n_docs))).astype(np.int32)), rare_words)
-                known = np.bincount(docs_of[~rare], weights=(use["n"][places[~rare]] > 0), minlength=n_docs).astype(np.int64)
-                columns = [some.column("row"), some.column("doc_id"), pa.array(np.bincount(docs_of, minlength=n_docs).astype(np.int64)), pa.array(known), pa.array(sums(own - all_words)), pa.array(sums(logs / math.log(10) + own - in_class[classes])), listed]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n_docs, f.type) for f in asked]], schema=both)
-                yield from asks(some.column("row")[0].as_py(), docs_of.astype("u1"), rest, use["codes"])
-
-    asked = [pa.field("part", pa.int64()), *[pa.field(c, pa.binary()) for c in ("high", "low", "doc", "u", "feats", "u_doc")]]
-    main = [pa.field("row", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("known", pa.int64()), pa.field("base", pa.float64()), pa.field("model", pa.float64()), pa.field("rare", pa.list_(pa.string()))]
-    both = pa.schema([*main, *asked])
-    parts = parts_of(docs.sparkSession)
-
-    def asks(row: int, docs_of: np.ndarray, rest: dict, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """What a slice asks each part: its pairs that are not broadcast, and its tokens after words beyond the vocabulary, with their documents, counted from row."""
+                first = some.column("row")[0].as_py()
+                ids, known = some.column("doc_id").to_pylist(), np.bincount(docs_of[~rare], weights=use["n"][places[~rare]] > 0, minlength=n_docs)
+                main = {"slice": first, "part": first % parts, "doc_id": ids, "n_tokens": np.bincount(docs_of, minlength=n_docs), "known": known.astype(np.int64), "base": sums(own - all_words), "model": sums(logs / math.log(10) + own - in_class[classes])}
+                rows = [main, *asks(docs_of.astype("u1"), codes, rare, words, indices, rest)]
+                yield from with_nulls([r | {"slice": first} for r in rows], ASKED).to_batches()
+
+    def asks(docs_of: np.ndarray, codes: np.ndarray, rare: np.ndarray, words: pa.Array, indices: np.ndarray, rest: dict) -> Iterator[dict]:
+        """What a slice asks each part."""
         order = np.argsort(rest["keys"], kind="stable")
-        keys, own = rest["keys"][order], docs_of[rest["tokens"][order]]
+        keys, own, feats = rest["keys"][order], docs_of[rest["tokens"][order]], rest["feats"][1:, order]
         rows: dict[int, dict] = {}
-        for part, i in by_part(places_of(keys, codes, parts)):
-            rows.setdefault(part, {}).update({"high": (keys[i] >> np.uint64(32)).astype("<u4").tobytes(), "low": keys[i].astype("<u4").tobytes(), "doc": own[i].tobytes()})
-        for part, i in by_part(dealt(rest["u"], parts)):
-            rows.setdefault(part, {}).update({"u": rest["u"][i].astype("<u4").tobytes(), "feats": rest["feats"][i].tobytes(), "u_doc": docs_of[rest["after"][i]].tobytes()})
-        if rows:
-            columns = [pa.array([part for part in rows], pa.int64()), *[pa.array([r.get(f.name, b"") for r in rows.values()], f.type) for f in asked[1:]]]
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int64()), *[pa.nulls(len(rows), f.type) for f in main[1:]], *columns], schema=both)
-
-    # Ids of rows rise by one within a task.
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double, rare array<string>, part long, high binary, low binary, doc binary, u binary, feats binary, u_doc binary")
-    scored = written(rows, "scored")
-    rows = scored.where(F.col("part").isNull()).select(*[f.name for f in main])
-    rare = rows.select("row", F.explode("rare").alias("word")).join(model.counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADDED)).alias("more"), F.count("n").alias("more_known"))
+        for part, i in by_part(places_of(keys, parts)):
+            after = i[keys[i] >> np.uint64(32) >= RARE]
+            rows.setdefault(part, {}).update({"keys": packed_keys(keys[i]), "doc": packed(own[i]), "feats": packed(feats[:, after].ravel())})
+        tokens = np.flatnonzero(rare)
+        tokens = tokens[np.argsort(indices[tokens], kind="stable")]
+        texts = words.cast(pa.large_binary())
+        for part, i in by_part(codes[tokens] % parts):
+            each, times = np.unique(indices[tokens[i]], return_counts=True)
+            text = b"\n".join(texts.take(pa.array(each)).to_numpy(zero_copy_only=False))
+            rows.setdefault(part, {}).update({"words": packed(np.frombuffer(text, "u1")), "times": packed(times.astype("<u4")), "word_doc": packed(docs_of[tokens[i]])})
+        return ({"part": part} | r for part, r in rows.items())
 
     def answer(table: pa.Table, own: pa.Table) -> pa.Table:
-        """row, x: what a part's pairs add to rows, and what the normaliser takes off for those after words beyond the vocabulary."""
-        starts = table.column("row").to_numpy()
-        of = lambda c, doc: np.repeat(starts, np.asarray(pc.binary_length(table.column(c)), np.int64) // 4) + numbers(table, doc, "u1")
-        both_words = lambda t, high, low: numbers(t, high, "<u4").astype(np.uint64) << np.uint64(32) | numbers(t, low, "<u4")
-        keys, asked_keys, weight = both_words(own, "rest_high", "rest_low"), both_words(table, "high", "low"), numbers(own, "rest_weights", "<f4")
-        row, x = of("high", "doc"), np.zeros(len(asked_keys))
+        """Slices' own rows, and what a part's pairs add to their documents less what the normaliser takes off after words beyond the vocabulary, and counts of those words."""
+        owned = pc.is_valid(table.column("doc_id"))
+        mains, table, known = table.filter(owned), table.filter(pc.invert(owned)), own.filter(pc.is_valid(own.column("word")))
+        own = own.filter(pc.is_null(own.column("word")))
+        columns = {c: table.column(c).to_pylist() for c in ("slice", "keys", "doc", "feats", "words", "times", "word_doc")}
+        asked = [unpacked_keys(x or b"") for x in columns["keys"]]
+        x = bonus(joined(asked, "<u8"), joined([unpacked(f or b"", "<u2").reshape(TEMPLATES - 1, -1).T for f in columns["feats"]], "<u2").reshape(-1, TEMPLATES - 1), own)
+        texts = [unpacked(w or b"", "u1").tobytes() for w in columns["words"]]
+        listed = [w for t in texts if t for w in t.split(b"\n")]
+        place = pc.index_in(pa.array(listed, pa.binary()), value_set=known.column("word").combine_chunks().cast(pa.binary()))
+        seen = np.append(known.column("n").to_numpy(), 0)[pc.fill_null(place, len(known)).to_numpy(zero_copy_only=False)]
+        rows, at, word_at = [], 0, 0
+        for i, keys in enumerate(asked):
+            doc, times = unpacked(columns["doc"][i] or b"", "u1"), unpacked(columns["times"][i] or b"", "<u4")
+            sums = np.bincount(doc, x[at : at + len(keys)], 256)
+            docs_ = np.flatnonzero(sums)
+            rows.append({"slice": columns["slice"][i], "doc": packed(docs_.astype("u1")), "more": packed(sums[docs_].astype("<f4")), "word_doc": columns["word_doc"][i], "word_n": packed(np.repeat(seen[word_at : word_at + len(times)], times).astype("<i8"))})
+            at, word_at = at + len(keys), word_at + len(times)
+        mains = pa.table({f.name: mains.column(f.name) if f.name in SLICED.names else pa.nulls(len(mains), f.type) for f in ANSWERED}, schema=ANSWERED)
+        return pa.concat_tables([with_nulls(rows, ANSWERED), mains])
+
+    def bonus(asked: np.ndarray, feats: np.ndarray, own: pa.Table) -> np.ndarray:
+        """What pairs add to the logs of asked tokens."""
+        keys, weight, x = keys_in(own, "rest_keys"), numbers(own, "rest_weights", "<f4"), np.zeros(len(asked))
         if len(keys):
             order = np.argsort(keys)
             keys, weight = keys[order], weight[order]
-            place = np.minimum(np.searchsorted(keys, asked_keys), len(keys) - 1)
-            x = np.where(keys[place] == asked_keys, weight[place], 0).astype(np.float64)
-        u, feats, kinds, adds = numbers(table, "u", "<u4"), numbers(table, "feats", "<u2").reshape(-1, TEMPLATES), numbers(own, "rest_class", "u1"), numbers(own, "rest_adds", "<f4")
-        every, at = np.unique(numbers(own, "rest_u", "<u4"), return_inverse=True)
-        off = np.zeros(len(u))
+            place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            x = np.where(keys[place] == asked, weight[place], 0).astype(np.float64)
+        after = np.flatnonzero(asked >> np.uint64(32) >= RARE)
+        cells, adds, u = keys_in(own, "rest_cells"), numbers(own, "rest_adds", "<f4"), asked[after] >> np.uint64(32)
+        every, at = np.unique(cells >> np.uint64(32), return_inverse=True)
         if len(every) and len(u):
             dense = np.zeros((len(every), CLASSES), np.float32)
-            dense[at, kinds] = adds
+            dense[at, (cells & LOW).astype(np.int64)] = adds
             place = np.minimum(np.searchsorted(every, u), len(every) - 1)
             hit = np.flatnonzero(every[place] == u)
             theta, bias = weights.value[0], prepared(*lookups.value)["bias"]
             for some in np.split(hit, range(STEP, len(hit), STEP)):
-                share = class_shares(np.ascontiguousarray(feats[some].T), theta, bias)[1]
-                off[some] = -np.log1p(np.einsum("ij,ij->i", share, dense[place[some]]))
-        every, at = np.unique(np.append(row, of("u", "u_doc")), return_inverse=True)
-        sums = np.bincount(at, np.append(x, off), len(every))
-        return pa.table({"row": pa.array(every[sums != 0].astype(np.int64)), "x": pa.array(sums[sums != 0])})
-
-    tokens = scored.where(F.col("part").isNotNull()).select("row", *[f.name for f in asked]).groupBy("part")
-    answers = tokens.cogroup(model.weighed.where("part >= 0").select("part", *[c for c in WEIGHED.names if c.startswith("rest")]).groupBy("part")).applyInArrow(answer, "row long, x double")
-    of_pairs = written(answers.groupBy("row").agg((F.sum("x") / math.log(10)).alias("of_pairs")), "lm-of-pairs")
+                share = class_shares(np.array([feature(0, u[some] - np.uint64(RARE - 1)), *feats[some].T]), theta, bias)[0]
+                x[after[some]] -= np.log1p(np.einsum("ij,ij->i", share, dense[place[some]]))
+        return x
+
+    def summed(table: pa.Table) -> pa.Table:
+        """The documents of a slice, from its own row and all answers."""
+        owned = pc.is_valid(table.column("doc_id"))
+        main, table = table.filter(owned).to_pylist()[0], table.filter(pc.invert(owned))
+        n_docs = len(main["doc_id"])
+        doc, more, word_doc, n = (numbers(table, c, k) for c, k in (("doc", "u1"), ("more", "<f4"), ("word_doc", "u1"), ("word_n", "<i8")))
+        words = np.bincount(word_doc, np.log10(n + ADDED), n_docs)
+        known = np.array(main["known"]) + np.bincount(word_doc[n > 0], minlength=n_docs)
+        model_ = np.array(main["model"]) + words + np.bincount(doc, more, n_docs) / math.log(10)
+        return pa.table({"doc_id": pa.array(main["doc_id"], pa.int64()), "n_tokens": pa.array(main["n_tokens"], pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": np.array(main["base"]) + words, "score": model_})
+
+    # Ids of rows rise by one within a task.
+    asked = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema_text(ASKED)).groupBy("part")
+    rest = model.weighed.where("part >= 0").select("part", *[c for c in WEIGHED.names if c.startswith("rest")])
+    known = rest.unionByName(model.rare.select((F.col("w") % parts).alias("part"), "word", "n"), allowMissingColumns=True).groupBy("part")
+    out = asked.cogroup(known).applyInArrow(answer, schema_text(ANSWERED)).groupBy("slice").applyInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = written(out, "scored")
     discard(model.weighed)
-    out = rows.drop("rare").join(rare, "row", "left").join(of_pairs, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more + F.coalesce("of_pairs", F.lit(0.0))).alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -264,6 +264,25 @@ def test_lm_leaves_no_tables_of_pairs(spark):
     assert "scored" in left and not left & {"lm-pair-counts", "lm-pair-weights"}
 
 
+def test_lm_keeps_no_tokens_on_disk(spark, monkeypatch):
+    """The table behind the result holds documents only, not what they ask of pairs that are not broadcast."""
+    monkeypatch.setattr(lm, "PAIRS", 5)
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(60)], "doc_id long, text string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert lm.scores(docs).count() == 60
+    assert [spark.read.parquet(str(p)).count() for p in set(shared.iterdir()) - before if p.name.startswith("scored")] == [60]
+
+
+def test_lm_packs_numbers_small_and_whole():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 300, 20_000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 16, 20_000).astype(np.uint64))
+    assert np.array_equal(lm.unpacked_keys(lm.packed_keys(keys)), keys) and len(lm.packed_keys(keys)) < 0.4 * keys.nbytes
+    for kind in ("u1", "<u2", "<u4", "<i8", "<f4"):
+        x = rng.integers(0, 200, 999).astype(kind)
+        assert np.array_equal(lm.unpacked(lm.packed(x), kind), x) and len(lm.unpacked(lm.packed(x[:0]), kind)) == 0
+
+
 def test_lm_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     weights, bias = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
