@@ -53,7 +53,7 @@ VOCABULARY, OWN, CLASSES, FEATURES, TEMPLATES, ADDED = 65_536, 15, 32, 1 << 14,
 PAIRS, DISCOUNT = 1 << 21, 0.75
 #: So many times a word must be seen before the classes after it count for as much as those anywhere.
 UNSURE = 10
-ROUNDS, BATCH, SMOOTH, BLOCKS = 4, 32_768, 4.0, 64
+ROUNDS, BATCH, SMOOTH, BLOCKS = 4, 65_536, 4.0, 64
 #: So many tasks' sums of a block are added up before all of the block are.
 FAN = 256
 #: Tokens, documents, and bytes of documents (but for longer ones, which stand alone) that are scored at a time.
@@ -160,7 +160,7 @@ def places_of(keys: np.ndarray, parts: int, side: int = 32) -> np.ndarray:
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, its places in order)."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
         yield int(part[some[0]]), some
 
@@ -178,7 +178,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over docs (text); the end sign counts once a document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in gathered(batches):
+        for texts in gathered(batches, 12_000_000):
             words, at, lengths = arrow_words(texts)
             n = np.bincount(at, minlength=len(words)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), pa.array(np.append(n, len(lengths)))], names=["word", "n"])
@@ -336,8 +336,8 @@ def pair_counts(docs: DataFrame, rare: DataFrame, lookups: Broadcast) -> DataFra
     return docs.select("text").mapInArrow(count, "shard long, keys binary, n binary").groupBy("shard").cogroup(rare).applyInArrow(total, schema_text(COUNTED))
 
 
-def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
-    """((keys times SPREAD in order, their weights; where those of each word of the vocabulary start, classes, what these keys and what all pairs add to them), a table with the rest).
+def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> tuple[tuple[Sorted, np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """((keys times SPREAD in order, their weights; for each word of the vocabulary and class, what these keys and what all pairs add to them), a table with the rest).
 
     pairs: as pair_counts() returns them. The keys are those after words of the vocabulary, from the least
     power of two on with which at most PAIRS are left. The table has the others' keys and weights, and what
@@ -392,9 +392,9 @@ def pair_weights(pairs: DataFrame, class_p: np.ndarray, lookups: Broadcast) -> t
     keys, weight, cells, more, own = keys_in(got, "keys"), numbers(got, "weights", "<f4"), keys_in(got, "cells"), numbers(got, "adds", "<f4"), numbers(got, "head_adds", "<f4")
     u, kind = (cells >> np.uint64(32)).astype("<u4"), cells.astype("u1")
     keys = keys * SPREAD
-    order, by_u = np.argsort(keys), np.argsort(u, kind="stable")
-    starts = np.searchsorted(u[by_u], np.arange(len(lookups.value[1]["words"]) + 1)).astype(np.int32)
-    return (Sorted(keys[order], 64), weight[order], starts, kind[by_u], own[by_u], more[by_u]), weighed
+    order, dense = np.argsort(keys), np.zeros((2, len(lookups.value[1]["words"]) + 1, CLASSES), np.float32)  # the last word stands for those beyond the vocabulary
+    dense[0, u, kind], dense[1, u, kind] = own, more
+    return (Sorted(keys[order], 64), weight[order], *dense), weighed
 
 
 class Sorted:
@@ -496,7 +496,7 @@ def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray
     With rest, they are by all pairs but for what it then says is missing: `tokens` whose pairs are not
     broadcast, all those after words beyond the vocabulary among them, with their `keys` and `feats`.
     """
-    theta, (keys, boost, starts, kinds, head_adds, adds) = weights
+    theta, (keys, boost, head_adds, adds) = weights
     adds = head_adds if rest is None else adds
     feats, pairs = features(hashed(codes, use), classes, docs), pair_keys(codes, docs)
     logs, absent = np.empty(len(codes)), np.empty(len(codes), bool)
@@ -507,13 +507,8 @@ def token_logs(use: dict, weights: tuple, classes: np.ndarray, codes: np.ndarray
         out[found >= 0] += boost[found[found >= 0]]
         absent[at : at + STEP] = found < 0
         # What pair features add to each class after the word before.
-        seen, which = np.unique(own >> np.uint64(32), return_inverse=True)
-        where = np.minimum(seen, len(starts) - 2).astype(np.int64)
-        n_adds = np.where(seen < len(starts) - 1, starts[where + 1] - starts[where], 0)
-        entries = np.repeat(starts[where] - np.cumsum(n_adds) + n_adds, n_adds) + np.arange(n_adds.sum())
-        table = np.zeros((len(seen), CLASSES), np.float32)
-        table[np.repeat(np.arange(len(seen)), n_adds), kinds[entries]] = adds[entries]
-        logs[at : at + STEP] = out - np.log1p(np.einsum("ij,ij->i", p, table[which]))
+        before = np.minimum(own >> np.uint64(32), np.uint64(len(adds) - 1)).astype(np.int64)
+        logs[at : at + STEP] = out - np.log1p(np.einsum("ij,ij->i", p, adds.take(before, axis=0)))
     if rest is not None:
         rest |= {"tokens": np.flatnonzero(absent), "keys": pairs[absent], "feats": feats[:, absent]}
     return logs
@@ -605,7 +600,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def asks(docs_of: np.ndarray, codes: np.ndarray, rare: np.ndarray, words: pa.Array, indices: np.ndarray, rest: dict) -> Iterator[dict]:
         """What a slice asks each part."""
-        order = np.argsort(rest["keys"], kind="stable")
+        order = np.argsort(rest["keys"])
         keys, own, feats = rest["keys"][order], docs_of[rest["tokens"][order]], rest["feats"][1:, order]
         rows: dict[int, dict] = {}
         for part, i in by_part(places_of(keys, parts)):
